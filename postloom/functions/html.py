@@ -77,13 +77,17 @@ def balanced(tail: Column, strict: bool = False) -> Column:
 
 def select_first(html: Column, *path: str) -> Column:
     """First element reached by a path of start-tag patterns, each searched inside the one before; null if none."""
-    current = html
-    for depth, pattern in enumerate(path):
+    def first(scope: Column, pattern: str) -> Column:
+        def tail(text: Column) -> Column:
+            return let(F.regexp_instr(text, F.lit(pattern)),
+                       lambda at: F.when(at > 0, balanced(F.substring(text, at, F.length(text)))))
+
+        return let(scope, tail)
+
+    current = first(html, path[0])
+    for pattern in path[1:]:
         # Below the first step the search must not find the container itself again.
-        scope = current if depth == 0 else F.regexp_replace(current, r"(?s)^<[^>]*>", "")
-        current = let(scope, lambda h, p=pattern: let(
-            F.regexp_instr(h, F.lit(p)),
-            lambda at, h=h: F.when(at > 0, balanced(F.substring(h, at, F.length(h))))))
+        current = first(F.regexp_replace(current, r"(?s)^<[^>]*>", ""), pattern)
     return current
 
 

@@ -95,14 +95,16 @@ def upsert_clusters(spark, sf):
 
 
 @query("apply_assignments", """
-select id, cast(case when seq % 21 = 0 then null when seq % 3 = 0 then seq % 7 + 1 else cluster_id end as int) as cluster_id
+select id, cast(coalesce(case when seq % 21 = 0 then null when seq % 3 = 0 then seq % 7 + 1 else cluster_id end, 0) as int)
+       as cluster_id
 from posts_v""")
 def apply_assignments(spark, sf):
     posts = V.posts(spark, sf)
     given = F.when(F.col("seq") % 21 != 0, (F.col("seq") % 7 + 1).cast("int"))
     assignments = posts.where("seq % 3 = 0").select("id", given.alias("cluster_id"))
     stray = assignments.select(F.concat("id", F.lit("-none")).alias("id"), "cluster_id")
-    return ingest.apply_assignments(posts, assignments.unionByName(stray)).select("id", "cluster_id")
+    return ingest.apply_assignments(posts, assignments.unionByName(stray)).select(
+        "id", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
 
 
 @query("clear_clusters", """

@@ -19,12 +19,12 @@ def _saved():
 
 @query("posts_scan", """
 select id, url, author, author_profile, content, post_type, cast(saved_at as varchar) as saved_at, likes, comments,
-       coalesce(link, '') as links, cluster_id from posts_v""")
+       coalesce(link, '') as links, coalesce(cluster_id, 0) as cluster_id from posts_v""")
 def posts_scan(spark, sf):
     return load_posts(V.posts(spark, sf)).select(
         "id", "url", "author", "author_profile", "content", "post_type", _saved(),
         R.likes_of(F.col("engagement")).alias("likes"), R.comments_of(F.col("engagement")).alias("comments"),
-        F.array_join("links", "|").alias("links"), "cluster_id")
+        F.array_join("links", "|").alias("links"), F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
 
 
 @query("posts_by_cluster", "select id, author, cast(saved_at as varchar) as saved_at from posts_v where cluster_id = 3")
@@ -239,7 +239,7 @@ def export_nested(spark, sf):
 
 
 @query("export_markdown", f"""
-select null as cluster_id, 0 as block, '' as post_id, '# Saved Posts Export' || chr(10) as md
+select 0 as cluster_id, 0 as block, '' as post_id, '# Saved Posts Export' || chr(10) as md
 union all
 select id, 0, '', concat('## ', summary, ' (', post_count, ' posts)', chr(10), '**Keywords:** ', keywords, chr(10))
 from clusters_v
@@ -253,7 +253,7 @@ select c.id, 1, p.id, concat('- **', p.author, '**: ', {V.sql_preview('p.content
             then chr(10) || format('  - Likes: {{:,}} | Comments: {{:,}}', p.likes, p.comments) else '' end)
 from clusters_v c join posts_v p on p.cluster_id = c.id""")
 def export_markdown(spark, sf):
-    return exports.export_markdown(V.posts(spark, sf), V.clusters(spark, sf)).drop("saved_at")
+    return exports.export_markdown(V.posts(spark, sf), V.clusters(spark, sf)).drop("saved_at").fillna(0, ["cluster_id"])
 
 
 @query("treemap_nodes", f"""

@@ -256,7 +256,7 @@ def sql_attr(expr: str, name: str) -> str:
 def sql_title(expr: str) -> str:
     """Title case of a text."""
     runs = rf"regexp_extract_all({expr}, '\p{{L}}+|\P{{L}}+')"
-    return f"array_to_string(list_transform({runs}, lambda r: upper(r[1]) || lower(r[2:])), '')"
+    return f"array_to_string(list_transform({runs}, lambda r: replace(upper(r[1]), 'ẞ', 'Ss') || lower(r[2:])), '')"
 
 
 def sql_matches(table_name: str, key: str, expr: str, pattern: str) -> str:
