@@ -1,17 +1,18 @@
-"""Column helpers over HTML text.
+"""Expressions over HTML text.
 
 An "element" is its outer HTML as a string. Selectors are patterns for a start tag; an element ends at
 its balanced end tag. Nothing here leaves the JVM.
+
+These expressions nest deeply, so the helpers take and return SQL text (a column name is the simplest
+case); `F.expr` turns the result into a column in one step.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from postloom.functions.text import strip
+from postloom.functions.text import BLANKS
 
 VOID_TAGS = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 INLINE_TAGS = "a|abbr|b|code|em|font|i|label|mark|s|small|span|strong|sub|sup|time|u"
@@ -19,10 +20,39 @@ INLINE_TAGS = "a|abbr|b|code|em|font|i|label|mark|s|small|span|strong|sub|sup|ti
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&amp;", "&")]
 
+_names = itertools.count()
+
+
+# --- SQL text ---
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def quoted(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate `value` once and use it several times in `body`."""
-    return F.transform(F.array(value), body)[0]
+    name = f"v{next(_names)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
+
+
+def unless(value: str, *unwanted: str) -> str:
+    """The text, or null where it equals one of the unwanted texts."""
+    listed = ", ".join(quoted(u) for u in unwanted)
+    return let(value, lambda v: f"if({v} in ({listed}), null, {v})")
+
+
+def each(items: str, body: Callable[[str], str]) -> str:
+    name = f"v{next(_names)}"
+    return f"transform({items}, {name} -> {body(name)})"
+
+
+def replaced(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)})"
+
+
+def stripped(text: str) -> str:
+    return replaced(text, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
 
 
 # --- selectors: patterns of a start tag ---
@@ -42,112 +72,102 @@ def by_attr(name: str, part: str, tag: str = r"[a-zA-Z][\w-]*") -> str:
 
 # --- elements ---
 
-def balanced(tail: Column, strict: bool = False) -> Column:
+def start_tag(element: str) -> str:
+    return f"regexp_extract({element}, {quoted('(?s)^<[^>]*>')}, 0)"
+
+
+def balanced(tail: str, strict: bool = False) -> str:
     """The first element of a text that begins with its start tag, up to the matching end tag.
 
     Without an end tag it is the whole text, or null if `strict`.
     """
-    def body(text: Column) -> Column:
-        return let(F.lower(F.regexp_extract(text, r"^<([a-zA-Z][\w-]*)", 1)), lambda name: cut(text, name))
-
-    def cut(text: Column, name: Column) -> Column:
-        start_tag = F.regexp_extract(text, r"(?s)^<[^>]*>", 0)
-        alone = F.endswith(start_tag, F.lit("/>")) | F.regexp_like(name, F.lit(f"^({VOID_TAGS})$"))
-        pieces = F.split(text, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
-        return F.when(alone, start_tag).otherwise(let(pieces, lambda p: close(text, name, p)))
-
-    def close(text: Column, name: Column, pieces: Column) -> Column:
-        # Walk over the open and close tags of this name; remember the piece where the depth returns to 0.
-        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-
-        def step(state: Column, piece: Column) -> Column:
-            depth = (state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1)
-                     .when(F.startswith(piece, F.lit("<")), 1).otherwise(0))
-            at = state["at"] + 1
-            end = F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"])
-            return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
-
-        end = F.aggregate(pieces, zero, step, lambda s: s["end"])
-        unclosed = F.lit(None).cast("string") if strict else text
-        return let(end, lambda e: F.when(e == 0, unclosed).otherwise(
-            F.concat(F.array_join(F.slice(pieces, 1, e - 1), ""), F.lit("</"), name, F.lit(">"))))
-
-    return F.when(F.startswith(tail, F.lit("<")), let(tail, body))
-
-
-def select_first(html: Column, *path: str) -> Column:
+    def body(text: str) -> str:
+        name = f"lower(regexp_extract({text}, {quoted(r'^<([a-zA-Z][\w-]*)')}, 1))"
+        return let(name, lambda n: cut(text, n))
+
+    def cut(text: str, name: str) -> str:
+        tag = start_tag(text)
+        pieces = f"split({text}, concat('(?i)(?=</?', {name}, {quoted(r'[\s/>])')}))"
+        alone = f"{name} in ({', '.join(quoted(t) for t in VOID_TAGS.split('|'))}) or endswith({tag}, '/>')"
+        return f"if({alone}, {tag}, {let(pieces, lambda p: close(text, name, p))})"
+
+    def close(text: str, name: str, pieces: str) -> str:
+        # Walk over the open and close tags of this name; `end` is the piece where the depth returns to 0.
+        s, p = f"s{next(_names)}", f"p{next(_names)}"
+        depth = f"({s}.depth + case when startswith({p}, '</') then -1 when startswith({p}, '<') then 1 else 0 end)"
+        end = (f"aggregate({pieces}, named_struct('depth', 0, 'at', 0, 'end', 0), ({s}, {p}) -> named_struct("
+               f"'depth', {depth}, 'at', {s}.at + 1, "
+               f"'end', if({s}.end = 0 and {depth} = 0, {s}.at + 1, {s}.end)), {s} -> {s}.end)")
+        unclosed = "cast(null as string)" if strict else text
+        return let(end, lambda e: f"if({e} = 0, {unclosed}, "
+                                  f"concat(array_join(slice({pieces}, 1, {e} - 1), ''), '</', {name}, '>'))")
+
+    return let(tail, lambda t: f"if(startswith({t}, '<'), {body(t)}, null)")
+
+
+def select_first(html: str, *path: str) -> str:
     """First element reached by a path of start-tag patterns, each searched inside the one before; null if none."""
-    def first(scope: Column, pattern: str) -> Column:
-        def tail(text: Column) -> Column:
-            return let(F.regexp_instr(text, F.lit(pattern)),
-                       lambda at: F.when(at > 0, balanced(F.substring(text, at, F.length(text)))))
+    def first(scope: str, pattern: str) -> str:
+        def element(text: str) -> str:
+            return let(f"regexp_instr({text}, {quoted(pattern)})",
+                       lambda at: f"if({at} > 0, {balanced(f'substring({text}, {at})')}, null)")
 
-        return let(scope, tail)
+        return let(scope, element)
 
     current = first(html, path[0])
     for pattern in path[1:]:
         # Below the first step the search must not find the container itself again.
-        current = first(F.regexp_replace(current, r"(?s)^<[^>]*>", ""), pattern)
+        current = first(replaced(current, "(?s)^<[^>]*>", ""), pattern)
     return current
 
 
-def select_all(html: Column, pattern: str) -> Column:
+def select_all(html: str, pattern: str) -> str:
     """All elements whose start tag matches, in page order (nested ones included)."""
-    def outer(pieces: Column) -> Column:
-        def element(piece: Column, at: Column) -> Column:
-            # A piece ends where the next match starts; only an element that reaches further needs the rest.
-            rest = F.array_join(F.slice(pieces, at + 1, F.size(pieces)), "")
-            return F.when(F.regexp_like(piece, F.lit(f"^{pattern}")),
-                          F.coalesce(balanced(piece, strict=True), balanced(rest)))
-
-        return F.filter(F.transform(pieces, element), lambda e: e.isNotNull())
-
-    return let(F.split(html, f"(?={pattern})"), outer)
-
+    def outer(pieces: str) -> str:
+        piece, at = f"p{next(_names)}", f"i{next(_names)}"
+        # A piece ends where the next match starts; only an element that reaches further needs the rest.
+        rest = f"array_join(slice({pieces}, {at} + 1, size({pieces})), '')"
+        found = (f"if(regexp_like({piece}, {quoted(f'^{pattern}')}), "
+                 f"coalesce({balanced(piece, strict=True)}, {balanced(rest)}), null)")
+        return f"filter(transform({pieces}, ({piece}, {at}) -> {found}), e -> e is not null)"
 
-def start_tag(element: Column) -> Column:
-    return F.regexp_extract(element, r"(?s)^<[^>]*>", 0)
+    return let(f"split({html}, {quoted(f'(?={pattern})')})", outer)
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: str) -> str:
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
     return text
 
 
-def attr(tag: Column, name: str, default: str = "") -> Column:
-    """Attribute of the (start) tag, or the default where it is absent or empty."""
-    double = F.regexp_extract(tag, rf'^<[^>]*?\s{name}="([^"]*)"', 1)
-    single = F.regexp_extract(tag, rf"^<[^>]*?\s{name}='([^']*)'", 1)
-    value = decode_entities(F.concat(F.coalesce(double, F.lit("")), F.coalesce(single, F.lit(""))))
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+def attr(element: str, name: str, default: str = "") -> str:
+    """Attribute of the element's start tag, or the default where it is absent or empty."""
+    def value(tag: str) -> str:
+        double = rf'^<[^>]*?\s{name}="([^"]*)"'
+        single = rf"^<[^>]*?\s{name}='([^']*)'"
+        return decode_entities(
+            f"concat(regexp_extract({tag}, {quoted(double)}, 1), regexp_extract({tag}, {quoted(single)}, 1))")
 
-
-def inner_text(html: Column) -> Column:
-    """Visible text: no scripts, styles, comments or tags; entities decoded; blanks squeezed."""
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{INLINE_TAGS})(?:\s[^>]*)?>", "")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
-    return strip(F.regexp_replace(decode_entities(text), r"[ \t\r\n\f]+", " "))
+    return f"coalesce({unless(let(start_tag(element), value), '')}, {quoted(default)})"
 
 
-def texts_of(html: Column, paths: list[list[str]]) -> list[Column]:
-    return [inner_text(select_first(html, *path)) for path in paths]
+def inner_text(html: str) -> str:
+    """Visible text: no scripts, styles, comments or tags; entities decoded; blanks squeezed."""
+    text = replaced(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+    text = replaced(text, rf"(?i)</?(?:{INLINE_TAGS})(?:\s[^>]*)?>", "")
+    text = decode_entities(replaced(text, r"<[^>]*>", " "))
+    return stripped(replaced(text, r"[ \t\r\n\f]+", " "))
 
 
-def first_text(html: Column, paths: list[list[str]], default: str = "",
-               clean: Callable[[Column], Column] | None = None, skip: tuple[str, ...] = ()) -> Column:
+def first_text(html: str, paths: list[list[str]], default: str = "",
+               clean: Callable[[str], str] | None = None, skip: tuple[str, ...] = ()) -> str:
     """First text of an ordered selector list that is not empty (after `clean`) and not one of `skip`."""
-    candidates = []
-    for text in texts_of(html, paths):
-        value = F.nullif(clean(text) if clean else text, F.lit(""))
-        for unwanted in skip:
-            value = F.nullif(value, F.lit(unwanted))
-        candidates.append(value)
-    return F.coalesce(*candidates, F.lit(default))
+    texts = [inner_text(select_first(html, *path)) for path in paths]
+    candidates = [unless(clean(text) if clean else text, "", *skip) for text in texts]
+    return f"coalesce({', '.join(candidates)}, {quoted(default)})"
 
 
-def longest_text(html: Column, patterns: list[str]) -> Column:
+def longest_text(html: str, patterns: list[str]) -> str:
     """Longest text among all matches of several patterns; the first one wins a tie."""
-    found = F.concat(*[F.transform(select_all(html, p), inner_text) for p in patterns])
-    return F.aggregate(found, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+    found = ", ".join(each(select_all(html, pattern), inner_text) for pattern in patterns)
+    return f"aggregate(concat({found}), '', (best, t) -> if(length(t) > length(best), t, best))"

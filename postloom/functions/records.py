@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postloom.functions.expr import let, unless
+from postloom.functions.text import contains_any, strip
+
 URN_MARKER = "urn:li:"
 POST_URL_PREFIX = "https://www.linkedin.com/feed/update/"
+# The connection mark after an author's name, and what follows it.
+AUTHOR_TAIL = r"(?s)\s*•\s*(1st|2nd|3rd\+?|Follower).*"
 # Marks of a post-like element.
 ACTIVITY_MARKER = "urn:li:activity"
 POST_CLASS = "feed-shared"
@@ -21,7 +26,7 @@ def post_url(post_id: Column) -> Column:
 
 def surrogate_id(post_id: Column, text: Column) -> Column:
     """The given id, or the md5 of the first 100 characters of the text where there is none."""
-    return F.coalesce(F.nullif(post_id, F.lit("")), F.md5(F.substring(text, 1, 100)))
+    return F.coalesce(unless(post_id, ""), F.md5(F.substring(text, 1, 100)))
 
 
 def page_file_key(post_id: Column) -> Column:
@@ -31,28 +36,30 @@ def page_file_key(post_id: Column) -> Column:
 
 def clean_author(text: Column) -> Column:
     """Author without the connection mark and whatever follows it."""
-    from postloom.functions.text import strip
-
-    return strip(F.regexp_replace(strip(text), r"(?s)\s*•\s*(1st|2nd|3rd\+?|Follower).*", ""))
+    return strip(F.regexp_replace(strip(text), AUTHOR_TAIL, ""))
 
 
 def clean_profile(href: Column) -> Column:
     """Profile address without tracking query; empty if it is no profile address."""
-    canonical = F.regexp_extract(href, r"^(https?://www\.linkedin\.com/in/[^?]+)", 1)
-    return F.when(F.contains(href, F.lit("/in/")),
-                  F.coalesce(F.nullif(canonical, F.lit("")), href)).otherwise(F.lit(""))
+    def cleaned(address: Column) -> Column:
+        canonical = F.regexp_extract(address, r"^(https?://www\.linkedin\.com/in/[^?]+)", 1)
+        return F.when(F.contains(address, F.lit("/in/")),
+                      F.coalesce(unless(canonical, ""), address)).otherwise(F.lit(""))
+
+    return let(href, cleaned)
 
 
 def parse_engagement(text: Column) -> Column:
     """`1,234 likes`, `12 reactions`, `56 comments` to a struct of counts; 0 where not stated."""
-    def count(pattern: str) -> Column:
-        digits = F.translate(F.regexp_extract(text, pattern, 1), ",", "")
+    def counts(line: Column) -> Column:
+        return F.struct(count(line, r"(?i)([\d,]+)\s*(?:like|reaction)").alias("likes"),
+                        count(line, r"(?i)([\d,]+)\s*comment").alias("comments"))
+
+    def count(line: Column, pattern: str) -> Column:
+        digits = F.translate(F.regexp_extract(line, pattern, 1), ",", "")
         return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
-    return F.struct(
-        count(r"(?i)([\d,]+)\s*(?:like|reaction)").alias("likes"),
-        count(r"(?i)([\d,]+)\s*comment").alias("comments"),
-    )
+    return let(text, counts)
 
 
 def likes_of(engagement: Column) -> Column:
@@ -74,8 +81,6 @@ def is_post(element_id: Column, css_class: Column, text: Column, wide: bool = Fa
     Narrow form: activity marker in the id, post class, or more than 50 characters of text.
     Wide form: activity marker in the id, or one of six words in the class.
     """
-    from postloom.functions.text import contains_any, strip
-
     marked = F.contains(F.coalesce(element_id, F.lit("")), F.lit(ACTIVITY_MARKER))
     css = F.coalesce(css_class, F.lit(""))
     if wide:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postloom.functions import html as H
 from postloom.functions import links as L
 from postloom.functions import records as R
+from postloom.functions.expr import unless
 from postloom.functions.text import strip
 
 URN_ATTR = "data-chameleon-result-urn"
@@ -63,31 +64,31 @@ DETAIL_ANCHORS = [
 DETAIL_LINK_AREAS = [H.by_class("feed-shared-text"), H.by_class("update-components-text")]
 
 
-def extract_author(element: Column, paths: list[list[str]] = AUTHOR_PATHS, default: str = "Unknown") -> Column:
-    return H.first_text(element, paths, default, clean=R.clean_author)
+def clean_author(text: str) -> str:
+    return H.stripped(H.replaced(H.stripped(text), R.AUTHOR_TAIL, ""))
 
 
-def extract_profile(element: Column, paths: list[list[str]] = PROFILE_PATHS) -> Column:
-    found = [F.nullif(R.clean_profile(H.attr(H.select_first(element, *path), "href")), F.lit("")) for path in paths]
+def extract_author(element: str, paths: list[list[str]] = AUTHOR_PATHS, default: str = "Unknown") -> Column:
+    return F.expr(H.first_text(element, paths, default, clean=clean_author))
+
+
+def extract_profile(element: str, paths: list[list[str]] = PROFILE_PATHS) -> Column:
+    found = [unless(R.clean_profile(F.expr(H.attr(H.select_first(element, *path), "href"))), "") for path in paths]
     return F.coalesce(*found, F.lit(""))
 
 
-def extract_content(element: Column, paths: list[list[str]] = CONTENT_PATHS,
+def extract_content(element: str, paths: list[list[str]] = CONTENT_PATHS,
                     fallback: list[list[str]] = CONTENT_FALLBACK) -> Column:
     """First text that is neither empty nor a lone ellipsis, else the text of the fallback area."""
-    main = F.nullif(H.first_text(element, paths, skip=ELLIPSES), F.lit(""))
-    return F.coalesce(main, H.first_text(element, fallback))
+    main = H.unless(H.first_text(element, paths, skip=ELLIPSES), "")
+    return F.expr(f"coalesce({main}, {H.first_text(element, fallback)})")
 
 
-def post_type(html: Column, patterns: list[tuple[str, list[str]]] = TYPE_PATTERNS, default: str = "text") -> Column:
+def post_type(html: str, patterns: list[tuple[str, list[str]]] = TYPE_PATTERNS, default: str = "text") -> Column:
     """First type one of whose patterns occurs."""
-    result = None
-    for name, alternatives in patterns:
-        hit = F.lit(False)
-        for pattern in alternatives:
-            hit = hit | F.regexp_like(html, F.lit(pattern))
-        result = F.when(hit, name) if result is None else result.when(hit, name)
-    return result.otherwise(default)
+    cases = [f"when {' or '.join(f'regexp_like({html}, {H.quoted(p)})' for p in alternatives)} then {H.quoted(name)}"
+             for name, alternatives in patterns]
+    return F.expr(f"case {' '.join(cases)} else {H.quoted(default)} end")
 
 
 def with_embedded(posts: DataFrame, title: str = "embedded_title", link: str = "embedded_link") -> DataFrame:
@@ -108,11 +109,11 @@ def extract_posts(pages: DataFrame, key: str = "page_id", html: str = "html",
 
     Counts are zero unless `engagement` asks to read them from the element.
     """
-    rows = pages.select(F.col(key), F.posexplode(H.select_all(F.col(html), POST_ELEMENT)).alias("pos", "element"))
-    element = F.col("element")
-    post_id = R.surrogate_id(H.attr(element, URN_ATTR), H.inner_text(element))
+    rows = pages.select(F.col(key), F.posexplode(F.expr(H.select_all(html, POST_ELEMENT))).alias("pos", "element"))
+    element = "element"
+    post_id = R.surrogate_id(F.expr(H.attr(element, URN_ATTR)), F.expr(H.inner_text(element)))
     zero = F.lit(0).cast("bigint")
-    counts = (R.parse_engagement(H.inner_text(H.select_first(element, *SOCIAL_COUNTS))) if engagement
+    counts = (R.parse_engagement(F.expr(H.inner_text(H.select_first(element, *SOCIAL_COUNTS)))) if engagement
               else F.struct(zero.alias("likes"), zero.alias("comments")))
     fields = rows.select(
         key, "pos",
@@ -121,8 +122,8 @@ def extract_posts(pages: DataFrame, key: str = "page_id", html: str = "html",
         extract_profile(element).alias("author_profile"),
         extract_content(element).alias("content"),
         post_type(element).alias("post_type"),
-        F.coalesce(H.inner_text(H.select_first(element, *EMBEDDED_TITLE)), F.lit("")).alias("embedded_title"),
-        F.coalesce(H.attr(H.select_first(element, *EMBEDDED_LINK), "href"), F.lit("")).alias("embedded_link"),
+        F.coalesce(F.expr(H.inner_text(H.select_first(element, *EMBEDDED_TITLE))), F.lit("")).alias("embedded_title"),
+        F.expr(H.attr(H.select_first(element, *EMBEDDED_LINK), "href")).alias("embedded_link"),
         counts.alias("engagement"),
     )
     return with_embedded(fields).select(
@@ -132,16 +133,13 @@ def extract_posts(pages: DataFrame, key: str = "page_id", html: str = "html",
 
 def extract_detail(pages: DataFrame, key: str = "id", html: str = "html") -> DataFrame:
     """Full text (the longest candidate) and outbound links of post detail pages, one row per page."""
-    page = F.col(html)
+    def hrefs(elements: str) -> str:
+        return H.each(elements, lambda e: H.attr(e, "href"))
 
-    def hrefs(elements: Column) -> Column:
-        return F.transform(elements, lambda e: H.attr(e, "href"))
-
-    areas = [F.flatten(F.transform(H.select_all(page, area), lambda e: H.select_all(e, H.by_attr("href", "", "a"))))
+    anchors = [H.select_all(html, pattern) for pattern in DETAIL_ANCHORS]
+    linked = H.by_attr("href", "", "a")
+    areas = [f"flatten({H.each(H.select_all(html, area), lambda e: H.select_all(e, linked))})"
              for area in DETAIL_LINK_AREAS]
-    anchors = [H.select_all(page, pattern) for pattern in DETAIL_ANCHORS]
-    return pages.select(
-        key,
-        H.longest_text(page, DETAIL_TEXT).alias("detail_content"),
-        L.outbound_links(F.concat(*[hrefs(a) for a in anchors + areas])).alias("detail_links"),
-    )
+    found = F.expr(f"concat({', '.join(hrefs(a) for a in anchors + areas)})")
+    return pages.select(key, F.expr(H.longest_text(html, DETAIL_TEXT)).alias("detail_content"),
+                        L.outbound_links(found).alias("detail_links"))

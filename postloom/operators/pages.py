@@ -28,8 +28,8 @@ def elements(pages: DataFrame, pattern: str, key: str = "page_id", html: str = "
     `tag` is the start tag; with `whole` the outer HTML comes along as `element`.
     """
     if whole:
-        found = pages.select(key, F.posexplode(H.select_all(F.col(html), pattern)).alias("pos", "element"))
-        return found.select(key, "pos", H.start_tag(F.col("element")).alias("tag"), "element")
+        found = pages.select(key, F.posexplode(F.expr(H.select_all(html, pattern))).alias("pos", "element"))
+        return found.select(key, "pos", F.expr(H.start_tag("element")).alias("tag"), "element")
     matches = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0))
     return pages.select(key, F.posexplode(matches).alias("pos", "tag"))
 
@@ -38,18 +38,17 @@ def anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
     """Links of each page with position, href and text."""
     matches = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<a\s[^>]*>.*?</a>"), F.lit(0))
     rows = pages.select(key, F.posexplode(matches).alias("pos", "element"))
-    return rows.select(key, "pos", H.attr(F.col("element"), "href").alias("href"),
-                       H.inner_text(F.col("element")).alias("text"))
+    return rows.select(key, "pos", F.expr(H.attr("element", "href")).alias("href"),
+                       F.expr(H.inner_text("element")).alias("text"))
 
 
 def frames(pages: DataFrame, key: str = "page_id", html: str = "html", tag: str = "iframe") -> DataFrame:
     """Attributes of embedded frames, with the placeholder text where one is missing."""
     rows = elements(pages, H.by_tag(tag), key, html)
-    tag_col = F.col("tag")
-    return rows.select(key, "pos", H.attr(tag_col, "src", "No src").alias("src"),
-                       H.attr(tag_col, "name", "No name").alias("name"),
-                       H.attr(tag_col, "id", "No id").alias("id"),
-                       H.attr(tag_col, "class", "No classes").alias("classes"))
+    return rows.select(key, "pos", F.expr(H.attr("tag", "src", "No src")).alias("src"),
+                       F.expr(H.attr("tag", "name", "No name")).alias("name"),
+                       F.expr(H.attr("tag", "id", "No id")).alias("id"),
+                       F.expr(H.attr("tag", "class", "No classes")).alias("classes"))
 
 
 def links_matching(links: DataFrame, words: list[str], href: str = "href", text: str = "text") -> DataFrame:
@@ -118,7 +117,7 @@ def block_links(pages: DataFrame, pattern: str, shown: int = 3, key: str = "page
     blocks = elements(pages, pattern, key, html, whole=True)
     links = F.regexp_extract_all(F.col("element"), F.lit(r"(?s)<a\s[^>]*>.*?</a>"), F.lit(0))
     rows = blocks.select(key, "pos", "element", links.alias("links"))
-    first = F.transform(F.slice("links", 1, shown), lambda a: F.struct(
-        H.inner_text(a).alias("text"), H.attr(a, "href").alias("href")))
-    return rows.select(key, "pos", F.substring(H.inner_text(F.col("element")), 1, 200).alias("preview"),
-                       F.size("links").cast("bigint").alias("n_links"), first.alias("first_links"))
+    first = H.each(f"slice(links, 1, {shown})", lambda a: (
+        f"named_struct('text', {H.inner_text(a)}, 'href', {H.attr(a, 'href')})"))
+    return rows.select(key, "pos", F.substring(F.expr(H.inner_text("element")), 1, 200).alias("preview"),
+                       F.size("links").cast("bigint").alias("n_links"), F.expr(first).alias("first_links"))

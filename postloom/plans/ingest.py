@@ -123,7 +123,7 @@ def stream_ingest_query(spark, sf):
 
     def to_posts(rows):
         twice = rows.select(F.explode(F.array(F.lit(0), F.lit(1_000_000))).alias("again"), "*")
-        text = H.inner_text(F.col("html"))
+        text = F.expr(H.inner_text("html"))
         post_id = F.concat(F.lit("urn:li:page:"), F.col("page_id").cast("string"))
         return twice.select(surrogate_id(post_id, text).alias("id"), "url", text.alias("content"),
                             (F.col("page_id") + F.col("again")).alias("ord"))

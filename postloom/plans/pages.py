@@ -47,7 +47,7 @@ def pages_frames(spark, sf):
 select page_id, cast(length(t) as bigint) as n_chars, md5(t) as digest
 from (select page_id, {V.sql_text('html')} as t from pages)""")
 def pages_text(spark, sf):
-    rows = _pages(spark, sf).select("page_id", H.inner_text(F.col("html")).alias("t"))
+    rows = _pages(spark, sf).select("page_id", F.expr(H.inner_text("html")).alias("t"))
     return rows.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -56,14 +56,14 @@ select page_id, coalesce(nullif({_inner('h2')}, ''), nullif({_inner('h1')}, ''),
        'Unknown') as author from pages""")
 def pages_author(spark, sf):
     paths = [[H.by_class("actor")], [H.by_tag("h2")], [H.by_tag("h1")], [H.by_tag("title")]]
-    return _pages(spark, sf).select("page_id", extract.extract_author(F.col("html"), paths).alias("author"))
+    return _pages(spark, sf).select("page_id", extract.extract_author("html", paths).alias("author"))
 
 
 @query("pages_content", f"""
 select page_id, md5(coalesce(nullif({_inner('h3')}, ''), nullif({_inner('nav')}, ''), {_inner('footer')})) as digest
 from pages""")
 def pages_content(spark, sf):
-    content = extract.extract_content(F.col("html"), [[H.by_tag("h3")], [H.by_tag("nav")]], [[H.by_tag("footer")]])
+    content = extract.extract_content("html", [[H.by_tag("h3")], [H.by_tag("nav")]], [[H.by_tag("footer")]])
     return _pages(spark, sf).select("page_id", F.md5(content).alias("digest"))
 
 
@@ -72,7 +72,7 @@ select page_id, case when html like '%class="ad"%' then 'article' when html like
                      else 'text' end as post_type from pages""")
 def pages_type(spark, sf):
     patterns = [("article", [H.by_class("ad"), H.by_class("feed-shared-article")]), ("video", [H.by_tag("h1")])]
-    return _pages(spark, sf).select("page_id", extract.post_type(F.col("html"), patterns).alias("post_type"))
+    return _pages(spark, sf).select("page_id", extract.post_type("html", patterns).alias("post_type"))
 
 
 @query("pages_longest_text", f"""
@@ -87,7 +87,7 @@ with found as (
 )
 select p.page_id, coalesce(b.t, '') as text from pages p left join best b on b.page_id = p.page_id and b.n = 1""")
 def pages_longest_text(spark, sf):
-    text = H.longest_text(F.col("html"), [H.by_tag("a"), H.by_tag("h1")])
+    text = F.expr(H.longest_text("html", [H.by_tag("a"), H.by_tag("h1")]))
     return _pages(spark, sf).select("page_id", text.alias("text"))
 
 
