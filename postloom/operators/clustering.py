@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.keywords import describe_clusters
-from postloom.operators.vectors import as_vector, embed, silhouette_exact
+from postloom.operators.vectors import as_vector, embed, silhouettes
 from postloom.session import checkpointed
 
 SEED = 42
 RESTARTS = 10
 MAX_ITER = 300
 MAX_AUTO_K = 20
+PARALLEL_FITS = 4
 # Exact silhouettes are quadratic; above this many points the linear variant decides.
 EXACT_LIMIT = 5_000
 
@@ -34,15 +38,21 @@ def _features(points: DataFrame, vec: str) -> DataFrame:
     return points.select("id", as_vector(vec).alias("features"), F.col(vec).alias("embedding"))
 
 
+def _side_by_side(session: SparkSession, tasks: list[Callable[[], KMeansModel]]) -> list[KMeansModel]:
+    """Run independent fits at the same time, as Spark's own model selection does."""
+    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
+        return pool.map(lambda task: inheritable_thread_target(session)(task)(), tasks)
+
+
+def _fit(features: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(features)
+
+
 def fit_kmeans(features: DataFrame, k: int, n_init: int = RESTARTS, seed: int = SEED,
                max_iter: int = MAX_ITER) -> KMeansModel:
     """The model of lowest cost over `n_init` seeds. `features` should be persisted by the caller."""
-    best = None
-    for start in range(n_init):
-        model = KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="features").fit(features)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    starts = [partial(_fit, features, k, seed + start, max_iter) for start in range(n_init)]
+    return min(_side_by_side(features.sparkSession, starts), key=lambda model: model.summary.trainingCost)
 
 
 def label(model: KMeansModel, features: DataFrame) -> DataFrame:
@@ -60,10 +70,14 @@ def kmeans(points: DataFrame, k: int, n_init: int = RESTARTS, seed: int = SEED,
     return label(model, _features(points, vec))
 
 
-def silhouette_fast(points: DataFrame, vec: str = "embedding") -> float:
+def used_labels(model: KMeansModel) -> int:
+    return sum(1 for size in model.summary.clusterSizes if size > 0)
+
+
+def silhouette_fast(points: DataFrame, label_col: str = "cluster_id", vec: str = "embedding") -> float:
     """Mean silhouette with squared Euclidean distances: linear in the number of points."""
-    rows = points.where("cluster_id is not null").select(
-        as_vector(vec).alias("features"), F.col("cluster_id").cast("int").alias("prediction"))
+    rows = points.where(F.col(label_col).isNotNull()).select(
+        as_vector(vec).alias("features"), F.col(label_col).cast("int").alias("prediction"))
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(rows)
 
 
@@ -73,19 +87,27 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
     features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = features.count()
-        scores = []
-        for k in range(2, auto_k_bound(n) + 1):
-            model = fit_kmeans(features.select("id", "features"), k, n_init, seed)
-            labelled = model.transform(features).select(
-                "id", "embedding", (F.col("prediction") + 1).cast("int").alias("cluster_id"))
-            if sum(1 for size in model.summary.clusterSizes if size > 0) < 2:
-                continue
-            if n <= exact_limit:
-                score = silhouette_exact(labelled).first()["silhouette"]
-            else:
-                score = silhouette_fast(labelled)
-            scores.append((k, score))
-        return scores
+        labelled, candidates = features, []
+        inputs = features.select("id", "features")
+        fits = [partial(_fit, inputs, k, seed + start, MAX_ITER)
+                for k in range(2, auto_k_bound(n) + 1) for start in range(n_init)]
+        models: dict[int, KMeansModel] = {}
+        for model in _side_by_side(points.sparkSession, fits):
+            k = model.getK()
+            if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
+                models[k] = model
+        for k, model in sorted(models.items()):
+            if used_labels(model) >= 2:
+                candidates.append(k)
+                labelled = model.setPredictionCol(f"k{k}").transform(labelled)
+        if not candidates:
+            return []
+        columns = [f"k{k}" for k in candidates]
+        if n > exact_limit:
+            return [(k, silhouette_fast(labelled, f"k{k}")) for k in candidates]
+        means = silhouettes(labelled, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
+        found = {row["labelling"]: row["mean"] for row in means.collect()}  # one row per candidate
+        return [(k, found[i]) for i, k in enumerate(candidates)]
     finally:
         features.unpersist()
 

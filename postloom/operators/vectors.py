@@ -159,15 +159,18 @@ def reassign_small(points: DataFrame, min_size: int = 3, vec: str = "embedding")
         "id", F.coalesce("_to", "cluster_id").alias("cluster_id"))
 
 
-def silhouette_points(points: DataFrame, vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact Euclidean silhouette of each point; 0 in a cluster of one.
+def silhouettes(points: DataFrame, labels: list[str], vec: str = "embedding",
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact Euclidean silhouette `(id, labelling, cluster_id, silhouette)` under one or several labellings.
 
+    A labelling is an integer column, numbered by its place in `labels`; a point in a cluster of one scores 0.
     Points are spread over blocks by hash. Every pair of blocks is one task that works out the distances
-    as a matrix and returns, per point and cluster, only their sum; no row per pair of points exists. The
-    work is quadratic by definition: see `silhouette_fast` for large tables.
+    as a matrix, once for all labellings, and returns per point and cluster only their sum; no row per
+    pair of points exists. The work is quadratic by definition: see `clustering.silhouette_fast` for
+    large tables.
     """
-    rows = points.where("cluster_id is not null").select(
-        "id", F.col("cluster_id").cast("int").alias("c"), F.col(vec).cast("array<double>").alias("v"))
+    marks = F.array(*[F.col(c).cast("int") for c in labels])
+    rows = points.select("id", marks.alias("c"), F.col(vec).cast("array<double>").alias("v"))
     blocks = max(1, math.ceil(rows.count() / block_rows))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # A pair (a, b) with a <= b serves both directions.
@@ -177,39 +180,40 @@ def silhouette_points(points: DataFrame, vec: str = "embedding", block_rows: int
                           F.col("block").alias("b"), "id", "c", "v")
     id_type = points.schema["id"].dataType.simpleString()
 
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        def side(ids, labels, dist):
-            names, codes = np.unique(labels, return_inverse=True)
-            member = np.zeros((len(labels), len(names)))
-            member[np.arange(len(labels)), codes] = 1.0
-            total = dist @ member
-            return pd.DataFrame({"id": np.repeat(ids, len(names)), "other": np.tile(names, len(ids)),
-                                 "total": total.ravel(), "n": np.tile(member.sum(axis=0), len(ids))})
+    def side(ids: np.ndarray, others: np.ndarray, dist: np.ndarray) -> Iterator[pd.DataFrame]:
+        for which in range(others.shape[1]):
+            names, codes = np.unique(others[:, which], return_inverse=True)
+            member = np.zeros((len(codes), len(names)))
+            member[np.arange(len(codes)), codes] = 1.0
+            yield pd.DataFrame({
+                "id": np.repeat(ids, len(names)), "labelling": which, "other": np.tile(names, len(ids)),
+                "total": (dist @ member).ravel(), "n": np.tile(member.sum(axis=0), len(ids))})
 
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "other": [], "total": [], "n": []})
+            return pd.DataFrame({"id": [], "labelling": [], "other": [], "total": [], "n": []})
         x, y = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
         dist = np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
-        out = [side(left["id"].to_numpy(), right["c"].to_numpy(), dist)]
+        out = list(side(left["id"].to_numpy(), np.stack(right["c"].to_list()), dist))
         if left["a"].iloc[0] != right["b"].iloc[0]:
-            out.append(side(right["id"].to_numpy(), left["c"].to_numpy(), dist.T))
+            out += side(right["id"].to_numpy(), np.stack(left["c"].to_list()), dist.T)
         return pd.concat(out)
 
     partial = upper.groupBy("a", "b").cogroup(lower.groupBy("a", "b")).applyInPandas(
-        sums, f"id {id_type}, other int, total double, n double")
-    per_cluster = partial.groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    joined = per_cluster.join(rows.select("id", "c"), "id")
-    own = F.col("other") == F.col("c")
-    scored = joined.groupBy("id", "c").agg(
+        sums, f"id {id_type}, labelling int, other int, total double, n double")
+    per_cluster = partial.groupBy("id", "labelling", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    joined = per_cluster.join(rows.select("id", "c"), "id").withColumn("own", F.expr("c[labelling]"))
+    own = F.col("other") == F.col("own")
+    scored = joined.groupBy("id", "labelling", "own").agg(
         F.max(F.when(own, F.col("n"))).alias("size"),
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("within"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("beside"))
     width = F.greatest("within", "beside")
     score = F.when((F.col("size") > 1) & (width > 0), (F.col("beside") - F.col("within")) / width).otherwise(0.0)
-    return scored.select("id", F.col("c").alias("cluster_id"), score.alias("silhouette"))
+    return scored.select("id", "labelling", F.col("own").alias("cluster_id"), score.alias("silhouette"))
 
 
 def silhouette_exact(points: DataFrame, vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean exact silhouette, one row."""
-    return silhouette_points(points, vec, block_rows).agg(
-        F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    scored = silhouettes(points.where("cluster_id is not null"), ["cluster_id"], vec, block_rows)
+    return scored.agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n"))
