@@ -40,7 +40,7 @@ def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384)
             for vectors in method(batches):
                 yield pd.Series([[float(v) for v in row] for row in vectors])
 
-        encode = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)
+        encode = F.pandas_udf(run, "array<float>")
         return df.withColumn("embedding", encode(F.col(text)))
     words = df.withColumn("_words", tokens(F.col(text)))
     if method == "tfidf":
@@ -111,15 +111,20 @@ def assign_nearest(points: DataFrame, centers: DataFrame, vec: str = "embedding"
     return _assign_by_blocks(points, centers, vec, n_blocks)
 
 
+def _numbers(n: int) -> Column:
+    """The numbers 0 to n - 1, typed like a block number."""
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _assign_by_blocks(points: DataFrame, centers: DataFrame, vec: str, center_blocks: int) -> DataFrame:
     """Exact assignment for any number of centroids: best per centroid block, then best of those."""
     point_blocks = max(1, math.ceil(points.count() / BLOCK_ROWS))
     left = points.select(
         F.pmod(F.xxhash64("id"), F.lit(point_blocks)).alias("a"),
-        F.explode(F.sequence(F.lit(0), F.lit(center_blocks - 1))).cast("bigint").alias("b"), "id",
+        F.explode(_numbers(center_blocks)).alias("b"), "id",
         F.col(vec).cast("array<double>").alias("v"))
     right = centers.select(
-        F.explode(F.sequence(F.lit(0), F.lit(point_blocks - 1))).cast("bigint").alias("a"),
+        F.explode(_numbers(point_blocks)).alias("a"),
         F.pmod(F.xxhash64("cluster_id"), F.lit(center_blocks)).alias("b"), "cluster_id",
         F.col("center").cast("array<double>").alias("v"))
     id_type = points.schema["id"].dataType.simpleString()

@@ -27,7 +27,7 @@ def load_clusters(store: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Raw pages from a Parquet table, or from saved HTML files (`fmt="html"`, one page per file)."""
     if fmt == "html":
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
         url = F.col("_metadata.file_path")
         return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
     return spark.read.schema(PAGES).parquet(path)
