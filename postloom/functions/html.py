@@ -52,7 +52,7 @@ def replaced(text: str, pattern: str, by: str) -> str:
 
 
 def stripped(text: str) -> str:
-    return replaced(text, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+    return f"btrim({text}, {quoted(BLANKS)})"
 
 
 # --- selectors: patterns of a start tag ---
@@ -76,6 +76,11 @@ def start_tag(element: str) -> str:
     return f"regexp_extract({element}, {quoted('(?s)^<[^>]*>')}, 0)"
 
 
+def tags_only(html: str) -> str:
+    """The start tags alone: a short text to search when the visible text does not matter."""
+    return f"array_join(regexp_extract_all({html}, {quoted('<[a-zA-Z][^>]*>')}, 0), '')"
+
+
 def balanced(tail: str, strict: bool = False) -> str:
     """The first element of a text that begins with its start tag, up to the matching end tag.
 
@@ -135,9 +140,17 @@ def select_all(html: str, pattern: str) -> str:
 
 
 def decode_entities(text: str) -> str:
-    for entity, char in ENTITIES:
-        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
-    return text
+    def decoded(value: str) -> str:
+        for entity, char in ENTITIES:
+            value = f"replace({value}, {quoted(entity)}, {quoted(char)})"
+        return value
+
+    return let(text, lambda t: f"if(contains({t}, '&'), {decoded(t)}, {t})")
+
+
+def squeezed(text: str) -> str:
+    """Runs of blanks as one space; single spaces are passed over."""
+    return replaced(text, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
 
 
 def attr(element: str, name: str, default: str = "") -> str:
@@ -153,10 +166,11 @@ def attr(element: str, name: str, default: str = "") -> str:
 
 def inner_text(html: str) -> str:
     """Visible text: no scripts, styles, comments or tags; entities decoded; blanks squeezed."""
-    text = replaced(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+    # Every pattern starts with a literal <, so that text without tags is passed over quickly.
+    text = replaced(html, r"(?is)<(?:script\b.*?</script|style\b.*?</style|!--.*?--)>", " ")
     text = replaced(text, rf"(?i)</?(?:{INLINE_TAGS})(?:\s[^>]*)?>", "")
     text = decode_entities(replaced(text, r"<[^>]*>", " "))
-    return stripped(replaced(text, r"[ \t\r\n\f]+", " "))
+    return stripped(squeezed(text))
 
 
 def first_text(html: str, paths: list[list[str]], default: str = "",

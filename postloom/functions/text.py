@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters a text trim removes at either end (same set in Java and RE2 patterns).
-BLANKS = r"\t-\r\x1c-\x20\x85\p{Z}"
+# Characters a text trim removes at either end.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+          "\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def preview(col: Column, n: int, trim: bool = False) -> Column:

@@ -86,9 +86,12 @@ def extract_content(element: str, paths: list[list[str]] = CONTENT_PATHS,
 
 def post_type(html: str, patterns: list[tuple[str, list[str]]] = TYPE_PATTERNS, default: str = "text") -> Column:
     """First type one of whose patterns occurs."""
-    cases = [f"when {' or '.join(f'regexp_like({html}, {H.quoted(p)})' for p in alternatives)} then {H.quoted(name)}"
-             for name, alternatives in patterns]
-    return F.expr(f"case {' '.join(cases)} else {H.quoted(default)} end")
+    def typed(tags: str) -> str:
+        cases = [f"when {' or '.join(f'regexp_like({tags}, {H.quoted(p)})' for p in alternatives)} "
+                 f"then {H.quoted(name)}" for name, alternatives in patterns]
+        return f"case {' '.join(cases)} else {H.quoted(default)} end"
+
+    return F.expr(H.let(H.tags_only(html), typed))
 
 
 def with_embedded(posts: DataFrame, title: str = "embedded_title", link: str = "embedded_link") -> DataFrame:
@@ -115,10 +118,18 @@ def extract_posts(pages: DataFrame, key: str = "page_id", html: str = "html",
     zero = F.lit(0).cast("bigint")
     counts = (R.parse_engagement(F.expr(H.inner_text(H.select_first(element, *SOCIAL_COUNTS)))) if engagement
               else F.struct(zero.alias("likes"), zero.alias("comments")))
-    fields = rows.select(
+    # The author's selectors narrow down from the same container: one step per projection keeps each
+    # expression small and searches every container once.
+    steps = rows.withColumn("_actor", F.expr(H.select_first(element, ACTOR)))
+    steps = steps.withColumn("_link", F.expr(H.select_first("_actor", LINK)))
+    steps = steps.withColumn("_name", F.expr(H.select_first("_link", LTR_SPAN)))
+    narrowed = [H.inner_text(H.select_first(H.replaced("_name", "(?s)^<[^>]*>", ""), SPAN, SPAN)),
+                H.inner_text("_name"), H.inner_text("_link"), H.inner_text(H.select_first(element, *AUTHOR_PATHS[-1]))]
+    author = f"coalesce({', '.join(H.unless(clean_author(text), '') for text in narrowed)}, 'Unknown')"
+    fields = steps.select(
         key, "pos",
         post_id.alias("id"),
-        extract_author(element).alias("author"),
+        F.expr(author).alias("author"),
         extract_profile(element).alias("author_profile"),
         extract_content(element).alias("content"),
         post_type(element).alias("post_type"),

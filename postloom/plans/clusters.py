@@ -30,25 +30,25 @@ with stats as (
 
 @query("token_counts", "select term, count(*) as n from tokens_v group by term")
 def token_counts(spark, sf):
-    return keywords.token_counts(V.posts(spark, sf))
+    return keywords.token_counts(V.posts(spark, sf, heavy=True))
 
 
 @query("term_stats", "select term, cast(sum(tf) as bigint) as total, count(*) as df from terms_v group by term")
 def term_stats(spark, sf):
-    return keywords.term_stats(keywords.cluster_terms(V.posts(spark, sf))).select("term", "total", "df")
+    return keywords.term_stats(keywords.cluster_terms(V.posts(spark, sf, heavy=True))).select("term", "total", "df")
 
 
 @query("vocabulary", f"""
 select term, cast(sum(tf) as bigint) as total, count(*) as df from terms_v where term not in ({STOP_SQL})
 group by term order by total desc, term limit 1000""")
 def vocabulary(spark, sf):
-    stats = keywords.term_stats(keywords.cluster_terms(V.posts(spark, sf), STOP))
+    stats = keywords.term_stats(keywords.cluster_terms(V.posts(spark, sf, heavy=True), STOP))
     return keywords.vocabulary(stats).select("term", "total", "df")
 
 
 @query("tfidf_weights", TFIDF_SQL + "select cluster_id, term, tf, round(weight, 6) as weight from weights")
 def tfidf_weights(spark, sf):
-    return keywords.tfidf_weights(V.posts(spark, sf)).withColumn("weight", F.round("weight", 6))
+    return keywords.tfidf_weights(V.posts(spark, sf, heavy=True)).withColumn("weight", F.round("weight", 6))
 
 
 @query("cluster_keywords", TFIDF_SQL + f"""
@@ -58,7 +58,7 @@ select cast(r.cluster_id as int) as cluster_id, string_agg(r.term, ', ' order by
 from ranked r join (select cluster_id, count(*) as n from posts_v group by cluster_id) s on s.cluster_id = r.cluster_id
 where r.rank <= 5 group by r.cluster_id""")
 def cluster_keywords(spark, sf):
-    found = keywords.describe_clusters(V.posts(spark, sf))
+    found = keywords.describe_clusters(V.posts(spark, sf, heavy=True))
     return found.select(F.col("id").alias("cluster_id"), F.array_join("keywords", ", ").alias("keywords"),
                         F.col("summary").alias("title"), "post_count")
 
@@ -66,7 +66,7 @@ def cluster_keywords(spark, sf):
 @query("keyword_weights", TFIDF_SQL + """
 select cluster_id, cast(rank as int) as rank, term, round(weight, 6) as weight from ranked where rank <= 5""")
 def keyword_weights(spark, sf):
-    return keywords.top_terms(keywords.tfidf_weights(V.posts(spark, sf))).withColumn("weight", F.round("weight", 6))
+    return keywords.top_terms(keywords.tfidf_weights(V.posts(spark, sf, heavy=True))).withColumn("weight", F.round("weight", 6))
 
 
 @query("cluster_titles", rf"""
@@ -179,7 +179,7 @@ def silhouette_fast(spark, sf):
 
 @query("embed_text")
 def embed_text(spark, sf):
-    return vectors.embed(V.posts(spark, sf).select("id", "content"), size=256).select("id", "embedding")
+    return vectors.embed(V.posts(spark, sf, heavy=True).select("id", "content"), size=256).select("id", "embedding")
 
 
 @query("kmeans_clusters")

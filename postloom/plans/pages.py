@@ -9,6 +9,7 @@ from postloom.functions import links as L
 from postloom.operators import extract, ingest, pages
 from postloom.plans import views as V
 from postloom.plans.registry import query
+from postloom.session import spread
 
 A_PATTERN = r"(?s)<a\s[^>]*>.*?</a>"
 ANCHORS_SQL = f"""
@@ -17,7 +18,7 @@ from ({V.sql_matches('pages', 'page_id', 'html', A_PATTERN)})"""
 
 
 def _pages(spark, sf):
-    return V.table(spark, sf, "pages")
+    return spread(V.table(spark, sf, "pages"))
 
 
 def _inner(tag: str) -> str:

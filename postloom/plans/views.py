@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions.text import BLANKS
-from postloom.session import checkpointed
+from postloom.session import checkpointed, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One post per document; `seq` is the scan order."""
+def posts(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """One post per document; `seq` is the scan order. `heavy` announces much work per row."""
     docs = table(spark, sf_dir, "documents")
+    if heavy:
+        docs = spread(docs)
     events = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.count_if(F.col("event_type") == "click").alias("likes"),
         F.count_if(F.col("event_type") == "view").alias("comments"))
@@ -120,7 +121,7 @@ def _escaped(col: Column) -> Column:
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of post elements: every post rendered into a page of its own, beside a page head and foot."""
-    rows = flat_counts(posts(spark, sf_dir))
+    rows = flat_counts(posts(spark, sf_dir, heavy=True))
     css = (F.when(F.col("post_type") == "article", "entity-result__embedded-object-image--article")
            .when(F.col("post_type") == "video", "linkedin-video-frame")
            .when(F.col("post_type") == "image", "entity-result__content-image").otherwise("plain"))
@@ -224,7 +225,8 @@ VIEWS_SQL = """with posts_v as (
 
 
 def sql_strip(expr: str) -> str:
-    return rf"regexp_replace({expr}, '^[{BLANKS}]+|[{BLANKS}]+\z', '', 'g')"
+    blank = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+    return rf"regexp_replace({expr}, '^{blank}+|{blank}+\z', '', 'g')"
 
 
 def sql_preview(expr: str, n: int, trim: bool = False) -> str:

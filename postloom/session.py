@@ -69,6 +69,16 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
 
 
+def spread(df: DataFrame, max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
+    """Share a small input among all cores before work that is heavy per row.
+
+    A small file is one split, so one core would do all the work. Above `max_bytes` (by Spark's own size
+    estimate) the file splits suffice and nothing is shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
                        max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint if its size is proven small, else unchanged (shuffled join, AQE skew split)."""
