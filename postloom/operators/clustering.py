@@ -10,6 +10,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ SEED = 42
 RESTARTS = 10
 MAX_ITER = 300
 MAX_AUTO_K = 20
+# Fits of up to this many points run side by side.
 PARALLEL_FITS = 4
+PARALLEL_POINTS = 1_000_000
 # Exact silhouettes are quadratic; above this many points the linear variant decides.
 EXACT_LIMIT = 5_000
 
@@ -35,13 +38,18 @@ def auto_k_bound(n: int) -> int:
 
 
 def _features(points: DataFrame, vec: str) -> DataFrame:
-    return points.select("id", as_vector(vec).alias("features"), F.col(vec).alias("embedding"))
+    return points.select("id", as_vector(points, vec).alias("features"))
 
 
-def _side_by_side(session: SparkSession, tasks: list[Callable[[], KMeansModel]]) -> list[KMeansModel]:
-    """Run independent fits at the same time, as Spark's own model selection does."""
+def _side_by_side(points: DataFrame, n: int, tasks: list[Callable[[], KMeansModel]]) -> list[KMeansModel]:
+    """Run independent fits of few points at the same time, as Spark's own model selection does.
+
+    A fit of many points keeps the cluster busy by itself.
+    """
+    if n > PARALLEL_POINTS:
+        return [task() for task in tasks]
     with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(session)(task)(), tasks)
+        return pool.map(lambda task: inheritable_thread_target(points.sparkSession)(task)(), tasks)
 
 
 def _fit(features: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
@@ -50,21 +58,26 @@ def _fit(features: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
 
 def fit_kmeans(features: DataFrame, k: int, n_init: int = RESTARTS, seed: int = SEED,
                max_iter: int = MAX_ITER) -> KMeansModel:
-    """The model of lowest cost over `n_init` seeds. `features` should be persisted by the caller."""
+    """The model of lowest cost over `n_init` seeds.
+
+    `features` should be persisted by the caller: the fits read that copy and make none of their own.
+    """
     starts = [partial(_fit, features, k, seed + start, max_iter) for start in range(n_init)]
-    return min(_side_by_side(features.sparkSession, starts), key=lambda model: model.summary.trainingCost)
+    return min(_side_by_side(features, features.count(), starts), key=lambda model: model.summary.trainingCost)
 
 
 def label(model: KMeansModel, features: DataFrame) -> DataFrame:
-    """`(id, cluster_id)` with ids from 1."""
-    return model.transform(features).select("id", (F.col("prediction") + 1).cast("int").alias("cluster_id"))
+    """`cluster_id`, from 1, in place of the features."""
+    labelled = model.transform(features).withColumn("cluster_id", (F.col("prediction") + 1).cast("int"))
+    return labelled.drop("prediction", "features")
 
 
 def kmeans(points: DataFrame, k: int, n_init: int = RESTARTS, seed: int = SEED,
            vec: str = "embedding") -> DataFrame:
+    """`(id, cluster_id)` of every point."""
     features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = fit_kmeans(features.select("id", "features"), k, n_init, seed)
+        model = fit_kmeans(features, k, n_init, seed)
     finally:
         features.unpersist()
     return label(model, _features(points, vec))
@@ -77,25 +90,28 @@ def used_labels(model: KMeansModel) -> int:
 def silhouette_fast(points: DataFrame, label_col: str = "cluster_id", vec: str = "embedding") -> float:
     """Mean silhouette with squared Euclidean distances: linear in the number of points."""
     rows = points.where(F.col(label_col).isNotNull()).select(
-        as_vector(vec).alias("features"), F.col(label_col).cast("int").alias("prediction"))
+        as_vector(points, vec).alias("features"), F.col(label_col).cast("int").alias("prediction"))
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(rows)
 
 
 def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int = SEED,
             exact_limit: int = EXACT_LIMIT) -> list[tuple[int, float]]:
-    """Silhouette of every candidate k from 2 to the bound; candidates with a single label are left out."""
+    """Silhouette of every candidate k from 2 to the bound; candidates with a single label are left out.
+
+    Up to `exact_limit` points the silhouettes are exact Euclidean ones (quadratic work, distances shared
+    by all candidates); above, the linear variant is used.
+    """
     features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = features.count()
-        labelled, candidates = features, []
-        inputs = features.select("id", "features")
-        fits = [partial(_fit, inputs, k, seed + start, MAX_ITER)
+        fits = [partial(_fit, features, k, seed + start, MAX_ITER)
                 for k in range(2, auto_k_bound(n) + 1) for start in range(n_init)]
         models: dict[int, KMeansModel] = {}
-        for model in _side_by_side(points.sparkSession, fits):
+        for model in _side_by_side(features, n, fits):
             k = model.getK()
             if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
                 models[k] = model
+        labelled, candidates = features, []
         for k, model in sorted(models.items()):
             if used_labels(model) >= 2:
                 candidates.append(k)
@@ -104,8 +120,9 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
             return []
         columns = [f"k{k}" for k in candidates]
         if n > exact_limit:
-            return [(k, silhouette_fast(labelled, f"k{k}")) for k in candidates]
-        means = silhouettes(labelled, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
+            return [(k, silhouette_fast(labelled, f"k{k}", "features")) for k in candidates]
+        arrays = labelled.withColumn("embedding", vector_to_array("features"))
+        means = silhouettes(arrays, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
         found = {row["labelling"]: row["mean"] for row in means.collect()}  # one row per candidate
         return [(k, found[i]) for i, k in enumerate(candidates)]
     finally:
@@ -136,18 +153,18 @@ def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, ve
     """
     if posts.limit(min_posts).count() < min_posts:
         return None, None
-    if vectors is None:
-        points = embed(posts.select("id", "content"), method=method).select("id", "embedding")
-    else:
-        points = vectors.select("id", "embedding").join(posts.select("id"), "id", "left_semi")
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = posts.select("id", "content")
+    rows = embed(rows, method=method) if vectors is None else rows.join(vectors.select("id", "embedding"), "id")
+    features = _features(rows, "embedding").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = points.count()
-        chosen = bound_k(auto_k(points, seed=seed) if k is None else k, n)
-        assignments = checkpointed(kmeans(points, chosen, n_init, seed))
+        n = features.count()
+        chosen = bound_k(auto_k(features, "features", seed=seed) if k is None else k, n)
+        model = fit_kmeans(features, chosen, n_init, seed)
+        assignments = checkpointed(label(model, features))
     finally:
-        points.unpersist()
-    assigned = posts.select("id", "content").join(assignments, "id")
+        features.unpersist()
+    # The model labels the rows where they are: the texts are not shuffled to meet their labels.
+    assigned = label(model, rows.withColumn("features", as_vector(rows, "embedding")))
     ids = posts.sparkSession.range(1, chosen + 1).select(F.col("id").cast("int").alias("cluster_id"))
     clusters = describe_clusters(assigned, ids, stop, n_clusters=chosen)
     return assignments, clusters.withColumn("created_at", F.current_timestamp())

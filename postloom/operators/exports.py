@@ -50,7 +50,8 @@ def export_nested(posts: DataFrame, clusters: DataFrame, cluster_id: int | None
     empty = F.array().cast(nested.schema["posts"].dataType)
     head = broadcast_if_small(chosen.select("id", "summary", "keywords", "post_count"))
     filled = nested.join(head, F.col("cluster_id") == F.col("id"))
-    bare = chosen.join(members.select(F.col("c_id").alias("id")).distinct(), "id", "left_anti").select(
+    used = numbers.select(F.col("cluster_id").alias("id")).distinct()
+    bare = chosen.join(used, "id", "left_anti").select(
         "id", "summary", "keywords", "post_count", F.lit(1).cast("bigint").alias("part"), empty.alias("posts"))
     return filled.select("id", "summary", "keywords", "post_count", "part", "posts").unionByName(bare)
 

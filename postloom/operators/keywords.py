@@ -26,19 +26,17 @@ def token_counts(posts: DataFrame, text: str = "content") -> DataFrame:
 def cluster_terms(posts: DataFrame, stop: list[str] | None = None, text: str = "content") -> DataFrame:
     """Term frequency per cluster; partial aggregation folds frequent terms before the shuffle."""
     rows = posts.where("cluster_id is not null").select("cluster_id", F.explode(tokens(F.col(text))).alias("term"))
+    # The term is never null; saying so keeps this plan the same wherever it is used, so that Spark
+    # runs its shuffle once.
+    rows = rows.where("term is not null")
     if stop:
         rows = rows.where(~F.col("term").isin(stop))
     return rows.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(counted: DataFrame) -> DataFrame:
-    """Total count and number of clusters per term, with the per-cluster counts nested.
-
-    One row of the nested list per cluster and term, so its length is the number of clusters.
-    """
-    return counted.groupBy("term").agg(
-        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"),
-        F.collect_list(F.struct("cluster_id", "tf")).alias("by_cluster"))
+    """Total count and number of clusters per term."""
+    return counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -46,14 +44,14 @@ def vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     return stats.orderBy(F.desc("total"), "term").limit(max_features)
 
 
-def tfidf(terms: DataFrame, n_clusters: Column | int) -> DataFrame:
-    """Weights `tf * (ln((1 + n) / (1 + df)) + 1)`, scaled to length 1 per cluster.
+def tfidf(counted: DataFrame, terms: DataFrame, n_clusters: int) -> DataFrame:
+    """Weights `tf * (ln((1 + n) / (1 + df)) + 1)` of the vocabulary terms, scaled to length 1 per cluster.
 
-    At most `max_features` rows per cluster reach the window.
+    The vocabulary has at most `max_features` rows: it is broadcast, and no more rows per cluster reach
+    the window.
     """
-    n = n_clusters if isinstance(n_clusters, Column) else F.lit(n_clusters)
-    rows = terms.select("term", "df", F.inline("by_cluster"))
-    idf = F.log((n + 1) / (F.col("df") + 1)) + 1
+    rows = counted.join(F.broadcast(terms.select("term", "df")), "term")
+    idf = F.log((F.lit(n_clusters) + 1) / (F.col("df") + 1)) + 1
     raw = rows.withColumn("raw", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("cluster_id")))
     return raw.withColumn("weight", F.col("raw") / norm).select("cluster_id", "term", "tf", "weight")
@@ -68,7 +66,8 @@ def tfidf_weights(posts: DataFrame, stop: list[str] | None = None, max_features:
                   n_clusters: int | None = None, text: str = "content") -> DataFrame:
     """TF-IDF weights of the vocabulary terms, each cluster taken as one document."""
     n = count_clusters(posts) if n_clusters is None else n_clusters
-    return tfidf(vocabulary(term_stats(cluster_terms(posts, stop, text)), max_features), n)
+    counted = cluster_terms(posts, stop, text)
+    return tfidf(counted, vocabulary(term_stats(counted), max_features), n)
 
 
 def top_terms(weights: DataFrame, n: int = TOP_TERMS) -> DataFrame:

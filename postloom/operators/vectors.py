@@ -12,20 +12,24 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokens
+from postloom.session import broadcast_if_small
 
 # Largest centroid table (values) that is held by the driver and every task.
 MODEL_VALUES = 8_000_000
 BLOCK_ROWS = 2_000
 
 
-def as_vector(col: Column | str) -> Column:
-    col = F.col(col) if isinstance(col, str) else col
-    return array_to_vector(col.cast("array<double>"))
+def as_vector(df: DataFrame, vec: str) -> Column:
+    """The column as an ML vector."""
+    if isinstance(df.schema[vec].dataType, VectorUDT):
+        return F.col(vec)
+    return array_to_vector(F.col(vec).cast("array<double>"))
 
 
 def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384) -> DataFrame:
@@ -60,7 +64,7 @@ def cluster_moments(points: DataFrame, vec: str = "embedding") -> DataFrame:
 
     Map tasks combine first, so the shuffle carries one small row per task and cluster.
     """
-    summary = Summarizer.metrics("mean", "variance").summary(as_vector(vec)).alias("_m")
+    summary = Summarizer.metrics("mean", "variance").summary(as_vector(points, vec)).alias("_m")
     rows = points.where("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), summary)
     spread = F.aggregate(vector_to_array("_m.variance"), F.lit(0.0), lambda a, v: a + v)
     return rows.select("cluster_id", "n", vector_to_array("_m.mean").alias("center"),
@@ -159,8 +163,7 @@ def reassign_small(points: DataFrame, min_size: int = 3, vec: str = "embedding")
     if large.isEmpty() or small.isEmpty():
         return points.select("id", "cluster_id")
     moves = assign_nearest(small, large, "center").select(F.col("id").alias("_from"), F.col("cluster_id").alias("_to"))
-    # One row per small cluster: Spark broadcasts it when its size allows.
-    return points.join(moves, F.col("cluster_id") == F.col("_from"), "left").select(
+    return points.join(broadcast_if_small(moves), F.col("cluster_id") == F.col("_from"), "left").select(
         "id", F.coalesce("_to", "cluster_id").alias("cluster_id"))
 
 
@@ -185,31 +188,33 @@ def silhouettes(points: DataFrame, labels: list[str], vec: str = "embedding",
                           F.col("block").alias("b"), "id", "c", "v")
     id_type = points.schema["id"].dataType.simpleString()
 
-    def side(ids: np.ndarray, others: np.ndarray, dist: np.ndarray) -> Iterator[pd.DataFrame]:
-        for which in range(others.shape[1]):
-            names, codes = np.unique(others[:, which], return_inverse=True)
+    def side(rows: pd.DataFrame, others: pd.DataFrame, dist: np.ndarray) -> Iterator[pd.DataFrame]:
+        ids, mine, theirs = rows["id"].to_numpy(), np.stack(rows["c"].to_list()), np.stack(others["c"].to_list())
+        for which in range(theirs.shape[1]):
+            names, codes = np.unique(theirs[:, which], return_inverse=True)
             member = np.zeros((len(codes), len(names)))
             member[np.arange(len(codes)), codes] = 1.0
             yield pd.DataFrame({
-                "id": np.repeat(ids, len(names)), "labelling": which, "other": np.tile(names, len(ids)),
-                "total": (dist @ member).ravel(), "n": np.tile(member.sum(axis=0), len(ids))})
+                "id": np.repeat(ids, len(names)), "labelling": which, "own": np.repeat(mine[:, which], len(names)),
+                "other": np.tile(names, len(ids)), "total": (dist @ member).ravel(),
+                "n": np.tile(member.sum(axis=0), len(ids))})
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "labelling": [], "other": [], "total": [], "n": []})
+            return pd.DataFrame({"id": [], "labelling": [], "own": [], "other": [], "total": [], "n": []})
         x, y = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
         dist = np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
-        out = list(side(left["id"].to_numpy(), np.stack(right["c"].to_list()), dist))
+        out = list(side(left, right, dist))
         if left["a"].iloc[0] != right["b"].iloc[0]:
-            out += side(right["id"].to_numpy(), np.stack(left["c"].to_list()), dist.T)
+            out += side(right, left, dist.T)
         return pd.concat(out)
 
     partial = upper.groupBy("a", "b").cogroup(lower.groupBy("a", "b")).applyInPandas(
-        sums, f"id {id_type}, labelling int, other int, total double, n double")
-    per_cluster = partial.groupBy("id", "labelling", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    joined = per_cluster.join(rows.select("id", "c"), "id").withColumn("own", F.expr("c[labelling]"))
+        sums, f"id {id_type}, labelling int, own int, other int, total double, n double")
+    keys = ["id", "labelling", "own"]
+    per_cluster = partial.groupBy(*keys, "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("other") == F.col("own")
-    scored = joined.groupBy("id", "labelling", "own").agg(
+    scored = per_cluster.groupBy(*keys).agg(
         F.max(F.when(own, F.col("n"))).alias("size"),
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("within"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("beside"))

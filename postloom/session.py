@@ -23,6 +23,7 @@ def build_session(app: str = "postloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     for key, value in settings.items():
@@ -63,9 +64,8 @@ def shared_path(spark: SparkSession, prefix: str) -> str:
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when a bounded scan proves that `df` fits the broadcast limits."""
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    seen = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
-    ).first()
+    seen = df.select(width.alias("w")).limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("bytes")).first()
     return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
 
 
