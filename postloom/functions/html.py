@@ -185,3 +185,13 @@ def longest_text(html: str, patterns: list[str]) -> str:
     """Longest text among all matches of several patterns; the first one wins a tie."""
     found = ", ".join(each(select_all(html, pattern), inner_text) for pattern in patterns)
     return f"aggregate(concat({found}), '', (best, t) -> if(length(t) > length(best), t, best))"
+
+
+def first_matching(html: str, patterns: list[str], keep: Callable[[str], str]) -> str:
+    """Elements of the first selector that has any element passing `keep`; an empty array if none has."""
+    found = []
+    for pattern in patterns:
+        name = f"e{next(_names)}"
+        kept = f"filter({select_all(html, pattern)}, {name} -> {keep(name)})"
+        found.append(let(kept, lambda k: f"if(size({k}) > 0, {k}, null)"))
+    return f"coalesce({', '.join(found)}, cast(array() as array<string>))"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.keywords import describe_clusters
-from postloom.operators.vectors import as_vector, embed, silhouettes
+from postloom.operators.vectors import as_vector, embed, move_clusters, silhouettes, small_cluster_moves
 from postloom.session import checkpointed
 
 SEED = 42
@@ -101,7 +101,8 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
     Up to `exact_limit` points the silhouettes are exact Euclidean ones (quadratic work, distances shared
     by all candidates); above, the linear variant is used.
     """
-    features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    own_copy = not (points.is_cached and vec == "features")
+    features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK) if own_copy else points
     try:
         n = features.count()
         fits = [partial(_fit, features, k, seed + start, MAX_ITER)
@@ -126,7 +127,8 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
         found = {row["labelling"]: row["mean"] for row in means.collect()}  # one row per candidate
         return [(k, found[i]) for i, k in enumerate(candidates)]
     finally:
-        features.unpersist()
+        if own_copy:
+            features.unpersist()
 
 
 def best_k(scores: list[tuple[int, float]]) -> int:
@@ -145,11 +147,12 @@ def auto_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int
 
 
 def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, vectors: DataFrame | None = None,
-                  method="tfidf", stop: list[str] | None = None, n_init: int = RESTARTS,
-                  seed: int = SEED) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+                  method="tfidf", stop: list[str] | None = None, n_init: int = RESTARTS, seed: int = SEED,
+                  min_size: int | None = None) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
     """Cluster posts: `(assignments, clusters)`, or two Nones below `min_posts`.
 
-    `vectors` gives precomputed embeddings by id; otherwise the text is embedded with `method`.
+    `vectors` gives precomputed embeddings by id; otherwise the text is embedded with `method`. With
+    `min_size`, smaller clusters are merged into the nearest larger one.
     """
     if posts.limit(min_posts).count() < min_posts:
         return None, None
@@ -160,11 +163,18 @@ def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, ve
         n = features.count()
         chosen = bound_k(auto_k(features, "features", seed=seed) if k is None else k, n)
         model = fit_kmeans(features, chosen, n_init, seed)
-        assignments = checkpointed(label(model, features))
+        labelled = label(model, features.withColumn("vector", F.col("features")))
+        moves = checkpointed(small_cluster_moves(labelled, min_size, "vector")) if min_size else None
+        labelled = labelled.select("id", "cluster_id")
+        assignments = checkpointed(move_clusters(labelled, moves) if min_size else labelled)
     finally:
         features.unpersist()
     # The model labels the rows where they are: the texts are not shuffled to meet their labels.
     assigned = label(model, rows.withColumn("features", as_vector(rows, "embedding")))
     ids = posts.sparkSession.range(1, chosen + 1).select(F.col("id").cast("int").alias("cluster_id"))
+    if min_size:
+        assigned = move_clusters(assigned, moves)
+        ids = ids.join(moves.select("cluster_id"), "cluster_id", "left_anti")
+        chosen = ids.count()
     clusters = describe_clusters(assigned, ids, stop, n_clusters=chosen)
     return assignments, clusters.withColumn("created_at", F.current_timestamp())

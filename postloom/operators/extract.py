@@ -48,6 +48,29 @@ EMBEDDED_LINK = [H.by_class("entity-result__embedded-object"),
                  H.by_attr("href", r"linkedin\.com/feed/update", "a")]
 SOCIAL_COUNTS = [H.by_class("social-details-social-counts")]
 
+# Elements that may hold a post where pages carry no result marker, most specific first.
+ANY_POST_ELEMENTS = [
+    H.by_attr("data-urn", R.ACTIVITY_MARKER),
+    H.by_attr("data-id", R.ACTIVITY_MARKER),
+    H.by_class("feed-shared-update-v2"),
+    H.by_class("feed-shared-update"),
+    H.by_class("occludable-update"),
+    H.by_attr("data-urn", ""),
+    H.by_class("artdeco-card"),
+    H.by_tag("article"),
+    H.by_attr("role", "article"),
+]
+INFO_AUTHOR = [
+    [H.by_class("feed-shared-actor__name")],
+    [H.by_class("update-components-actor__name")],
+    [H.by_attr("data-control-name", "actor_name")],
+]
+INFO_CONTENT = [
+    [H.by_class("feed-shared-text")],
+    [H.by_class("update-components-text")],
+    [H.by_class("feed-shared-update-v2__description")],
+]
+
 DETAIL_TEXT = [
     H.by_class("feed-shared-update-v2__description"),
     H.by_class("feed-shared-text"),
@@ -142,6 +165,29 @@ def extract_posts(pages: DataFrame, key: str = "page_id", html: str = "html",
         F.current_timestamp().alias("saved_at"), "engagement", "links", F.lit(None).cast("int").alias("cluster_id"))
 
 
+def _is_post(element: str) -> str:
+    marked = " or ".join(f"contains({H.attr(element, name)}, {H.quoted(R.ACTIVITY_MARKER)})"
+                         for name in ("data-urn", "data-id"))
+    return (f"{marked} or contains({H.attr(element, 'class')}, {H.quoted(R.POST_CLASS)}) "
+            f"or length({H.inner_text(element)}) > 50")
+
+
+def extract_post_info(pages: DataFrame, key: str = "page_id", html: str = "html",
+                      patterns: list[str] = ANY_POST_ELEMENTS) -> DataFrame:
+    """Short record of every post-like element: id, author, 200-character preview, key of its file.
+
+    The first selector of the list that finds post-like elements on a page is used for that page.
+    """
+    found = F.expr(H.first_matching(html, patterns, _is_post))
+    rows = pages.select(F.col(key), F.posexplode(found).alias("pos", "element"))
+    given = F.expr(f"coalesce({H.unless(H.attr('element', 'data-urn'), '')}, {H.attr('element', 'data-id')})")
+    info = rows.select(
+        key, "pos", R.surrogate_id(given, F.expr(H.inner_text("element"))).alias("id"),
+        F.expr(H.first_text("element", INFO_AUTHOR, "unknown")).alias("author"),
+        F.substring(F.expr(H.first_text("element", INFO_CONTENT)), 1, 200).alias("content_preview"))
+    return info.withColumn("file_key", R.page_file_key(F.col("id")))
+
+
 def extract_detail(pages: DataFrame, key: str = "id", html: str = "html") -> DataFrame:
     """Full text (the longest candidate) and outbound links of post detail pages, one row per page."""
     def hrefs(elements: str) -> str:

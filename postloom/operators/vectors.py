@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import tokens
-from postloom.session import broadcast_if_small
+from postloom.session import broadcast_if_small, checkpointed
 
 # Largest centroid table (values) that is held by the driver and every task.
 MODEL_VALUES = 8_000_000
@@ -152,19 +152,30 @@ def assign_new(points: DataFrame, vec: str = "embedding") -> DataFrame:
     return assign_nearest(points.where("cluster_id is null"), centroids(points, vec), vec)
 
 
-def reassign_small(points: DataFrame, min_size: int = 3, vec: str = "embedding") -> DataFrame:
-    """`(id, cluster_id)` after clusters below `min_size` are merged into the nearest larger one.
+def small_cluster_moves(points: DataFrame, min_size: int, vec: str = "embedding") -> DataFrame:
+    """`(cluster_id, target)`: for each cluster below `min_size` the nearest one that is not.
 
-    Distances are between centroids. Where no cluster is large enough, nothing changes.
+    Distances are between centroids. There are no rows where no cluster is large enough.
     """
-    moments = cluster_moments(points, vec)
+    moments = checkpointed(cluster_moments(points, vec))  # one row per cluster, read twice
     large = moments.where(F.col("n") >= min_size).select("cluster_id", "center")
     small = moments.where(F.col("n") < min_size).select(F.col("cluster_id").alias("id"), "center")
-    if large.isEmpty() or small.isEmpty():
-        return points.select("id", "cluster_id")
-    moves = assign_nearest(small, large, "center").select(F.col("id").alias("_from"), F.col("cluster_id").alias("_to"))
-    return points.join(broadcast_if_small(moves), F.col("cluster_id") == F.col("_from"), "left").select(
-        "id", F.coalesce("_to", "cluster_id").alias("cluster_id"))
+    if large.isEmpty():
+        return small.select(F.col("id").alias("cluster_id"), F.col("id").alias("target")).where(F.lit(False))
+    return assign_nearest(small, large, "center").select(
+        F.col("id").alias("cluster_id"), F.col("cluster_id").alias("target"))
+
+
+def move_clusters(labelled: DataFrame, moves: DataFrame) -> DataFrame:
+    """Rows with their cluster replaced by its target, where it has one."""
+    targets = moves.select(F.col("cluster_id").alias("_from"), F.col("target").alias("_to"))
+    moved = labelled.join(broadcast_if_small(targets), F.col("cluster_id") == F.col("_from"), "left")
+    return moved.withColumn("cluster_id", F.coalesce("_to", "cluster_id")).select(*labelled.columns)
+
+
+def reassign_small(points: DataFrame, min_size: int = 3, vec: str = "embedding") -> DataFrame:
+    """`(id, cluster_id)` after clusters below `min_size` are merged into the nearest larger one."""
+    return move_clusters(points.select("id", "cluster_id"), small_cluster_moves(points, min_size, vec))
 
 
 def silhouettes(points: DataFrame, labels: list[str], vec: str = "embedding",

@@ -10,6 +10,7 @@ from postloom.operators import extract, ingest, pages
 from postloom.plans import views as V
 from postloom.plans.registry import query
 from postloom.session import spread
+from postloom.sources.tables import read_pages
 
 A_PATTERN = r"(?s)<a\s[^>]*>.*?</a>"
 ANCHORS_SQL = f"""
@@ -18,7 +19,7 @@ from ({V.sql_matches('pages', 'page_id', 'html', A_PATTERN)})"""
 
 
 def _pages(spark, sf):
-    return spread(V.table(spark, sf, "pages"))
+    return spread(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def _inner(tag: str) -> str:
@@ -203,6 +204,16 @@ def extract_posts(spark, sf):
         F.array_join("links", "|").alias("links"))
 
 
+@query("post_info", f"""
+select page_id, pos, md5(substring(t, 1, 100)) as id, 'unknown' as author, '' as content_preview,
+       md5(substring(t, 1, 100)) as file_key
+from (select page_id, row_number() over (partition by page_id order by pos) - 1 as pos, t
+      from (select page_id, pos, {V.sql_text('m')} as t
+            from ({V.sql_matches('pages', 'page_id', 'html', '(?s)<article>.*?</article>')})) where length(t) > 50)""")
+def post_info(spark, sf):
+    return extract.extract_post_info(_pages(spark, sf))
+
+
 @query("merge_links", """
 select id, concat(url, '|www.site', id, '.example.org') as links from text_v""")
 def merge_links(spark, sf):

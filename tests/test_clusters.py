@@ -157,6 +157,16 @@ def test_cluster_with_given_vectors(spark, topic_posts):
     assert sorted(groups.values()) == [4, 4]
 
 
+def test_small_clusters_are_merged(spark, topic_posts):
+    posts = topic_posts(2, 5).unionByName(topic_posts(3, 5).where("id = 't2-0'"))
+    angle = F.when(F.col("id").startswith("t0"), 0.0).when(F.col("id").startswith("t1"), 1.0).otherwise(1.4)
+    vectors = posts.select("id", F.array(F.cos(angle), F.sin(angle)).alias("embedding"))
+    assignments, clusters = C.cluster_posts(posts, k=3, vectors=vectors, n_init=5, min_size=2)
+    labels = {r["id"]: r["cluster_id"] for r in assignments.collect()}
+    assert labels["t2-0"] == labels["t1-0"] != labels["t0-0"]
+    assert {r["id"]: r["post_count"] for r in clusters.collect()} == {labels["t0-0"]: 5, labels["t1-0"]: 6}
+
+
 def test_too_few_posts(topic_posts):
     assert C.cluster_posts(topic_posts(1, 3)) == (None, None)
 

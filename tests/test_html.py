@@ -106,3 +106,18 @@ def test_page_profiles(spark):
     counts = {r["phrase"]: r["n"] for r in pages.phrase_counts(rows, ["saved posts", "10+", "nope"]).collect()}
     assert counts == {"saved posts": 1, "10+": 1, "nope": 0}
     assert pages.phrase_counts(rows, ["nope"], positive_only=True).count() == 0
+
+
+def test_post_info_uses_the_first_selector_with_posts(spark):
+    long = "w" * 60
+    rows = spark.createDataFrame([
+        (1, '<div class="feed-shared-update" data-id="urn:li:activity:5"><b class="feed-shared-actor__name">Ann</b>'
+            f'<p class="update-components-text">{"c" * 250}</p></div><article>{long}</article>'),
+        (2, f"<article>short</article><article>{long}</article>"),
+        (3, "<p>nothing</p>"),
+    ], "page_id bigint, html string")
+    got = {(r["page_id"], r["pos"]): r for r in extract.extract_post_info(rows).collect()}
+    assert set(got) == {(1, 0), (2, 0)}
+    assert got[1, 0]["id"] == "urn:li:activity:5" and got[1, 0]["author"] == "Ann"
+    assert got[1, 0]["content_preview"] == "c" * 200 and got[1, 0]["file_key"] == "urnliactivity5"
+    assert got[2, 0]["author"] == "unknown" and len(got[2, 0]["id"]) == 32
