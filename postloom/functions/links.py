@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Address pattern in plain text; (?U) gives the Unicode meaning of \s and \w.
+# Fixed value: address pattern in plain text; (?U) gives the Unicode meaning of \s and \w.
 TEXT_URL = r"""(?U)https?://[^\s<>"'\)\],]+|(?<!\w)www\.[^\s<>"'\)\],]+"""
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from postloom.functions.expr import let, unless
 from postloom.functions.text import contains_any, strip
 
+# Marks and addresses of post ids.
 URN_MARKER = "urn:li:"
 POST_URL_PREFIX = "https://www.linkedin.com/feed/update/"
-# The connection mark after an author's name, and what follows it.
+# Fixed value: the connection mark after an author's name, and what follows it.
 AUTHOR_TAIL = r"(?s)\s*•\s*(1st|2nd|3rd\+?|Follower).*"
-# Marks of a post-like element.
+# Marks of a post-like element.
 ACTIVITY_MARKER = "urn:li:activity"
 POST_CLASS = "feed-shared"
 WIDE_CLASS_WORDS = ["post", "update", "activity", "feed", "card", "item"]

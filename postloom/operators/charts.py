@@ -11,6 +11,7 @@ from postloom.functions.text import head_items, preview
 from postloom.operators.reports import with_clusters
 from postloom.sources.tables import read_vectors
 
+# Labels and the least number of projected points.
 ROOT_LABEL = "All Posts"
 GRAPH_ROOT = "Saved Posts"
 MIN_PROJECTED = 4

@@ -18,6 +18,7 @@ from postloom.operators.keywords import describe_clusters
 from postloom.operators.vectors import as_vector, embed, move_clusters, silhouettes, small_cluster_moves
 from postloom.session import checkpointed
 
+# Seed, restarts and bounds of the search for k.
 SEED = 42
 RESTARTS = 10
 MAX_ITER = 300

@@ -1,6 +1,6 @@
 """From raw pages to post records.
 
-Selectors are fixed values: they name the classes and attributes of the pages the posts come from.
+The selectors below are fixed values: they name the classes and attributes of the pages the posts come from.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from postloom.functions import records as R
 from postloom.functions.expr import unless
 from postloom.functions.text import strip
 
+# Selectors of the result pages.
 URN_ATTR = "data-chameleon-result-urn"
 POST_ELEMENT = H.by_attr(URN_ATTR, R.ACTIVITY_MARKER)
 ACTOR = H.by_class("entity-result__content-actor")
@@ -48,7 +49,7 @@ EMBEDDED_LINK = [H.by_class("entity-result__embedded-object"),
                  H.by_attr("href", r"linkedin\.com/feed/update", "a")]
 SOCIAL_COUNTS = [H.by_class("social-details-social-counts")]
 
-# Elements that may hold a post where pages carry no result marker, most specific first.
+# Elements that may hold a post where pages carry no result marker, most specific first.
 ANY_POST_ELEMENTS = [
     H.by_attr("data-urn", R.ACTIVITY_MARKER),
     H.by_attr("data-id", R.ACTIVITY_MARKER),
@@ -71,6 +72,7 @@ INFO_CONTENT = [
     [H.by_class("feed-shared-update-v2__description")],
 ]
 
+# Selectors of the detail pages.
 DETAIL_TEXT = [
     H.by_class("feed-shared-update-v2__description"),
     H.by_class("feed-shared-text"),

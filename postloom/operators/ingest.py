@@ -65,10 +65,9 @@ def ingest_counts(incoming: DataFrame, known: DataFrame, max_new: int | None = N
     flagged = seen.join(known.select(key, F.lit(1).alias("_known")), key, "left")
     is_new = F.col("_known").isNull()
     if max_new:
-        fresh = flagged.where(is_new).select(key, order)
-        last = cap(fresh, max_new, order, key).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last")).first()
-        if last["n"] == max_new:
-            flagged = flagged.where(F.col(order) <= F.lit(last["last"]))
+        fresh = cap(flagged.where(is_new).select(key, order), max_new, order, key)
+        stop = fresh.agg(F.count(F.lit(1)).alias("_n"), F.max(order).alias("_last"))  # a single row
+        flagged = flagged.join(F.broadcast(stop), (F.col("_n") < max_new) | (F.col(order) <= F.col("_last")))
     counts = flagged.agg(F.count_if(is_new).alias("synced"), F.count_if(~is_new).alias("skipped"))
     total = known.agg(F.count(F.lit(1)).alias("known"))
     # Both sides are single-row aggregates.

@@ -9,6 +9,7 @@ from postloom.functions.text import preview
 from postloom.operators.ranking import newest_first_order, positions
 from postloom.schemas import LABEL_REPLY
 
+# The row for posts in no list.
 CATCH_ALL = "Other"
 CATCH_ALL_KEYWORD = "unassigned"
 

@@ -13,9 +13,10 @@ from postloom.functions import html as H
 from postloom.functions import text as T
 from postloom.functions.records import is_post
 
-# Tags counted by the page statistics, and markers whose presence is flagged.
+# Tags counted by the page statistics, and markers whose presence is flagged.
 STAT_TAGS = {"n_div": "<div", "n_anchor": "<a ", "n_article": "<article"}
 STAT_MARKERS = {"has_data_urn": "data-urn", "has_activity": "urn:li:activity", "has_feed_shared": "feed-shared"}
+# Phrases searched by default.
 KEY_PHRASES = ["saved posts", "10+", "data-urn", "urn:li:activity", "feed-shared-update", "artdeco-card", "post",
                "update"]
 POST_INDICATORS = ["saved posts", "data-urn", "urn:li:activity", "feed-shared", "post"]
