@@ -6,7 +6,7 @@ Points are rows `(id, embedding array, cluster_id)`.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,11 +80,15 @@ def cluster_cost(points: DataFrame, vec: str = "embedding") -> DataFrame:
     return cluster_moments(points, vec).select("cluster_id", "n", "cost")
 
 
-def _nearest(vectors: np.ndarray, ids: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre of each row; distances equal to nine places go to the smaller id (ids ascend)."""
-    dist = np.sqrt(np.stack([((vectors - c) ** 2).sum(axis=1) for c in centers], axis=1))
-    best = np.round(dist, 9).argmin(axis=1)
-    return ids[best], dist[np.arange(len(vectors)), best]
+def _nearest_finder() -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The function tasks run; made here, it travels with them and needs no package on the workers."""
+    def nearest(vectors: np.ndarray, ids: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Distances equal to nine places go to the smaller id (ids ascend).
+        dist = np.sqrt(np.stack([((vectors - c) ** 2).sum(axis=1) for c in centers], axis=1))
+        best = np.round(dist, 9).argmin(axis=1)
+        return ids[best], dist[np.arange(len(vectors)), best]
+
+    return nearest
 
 
 def fits_model(n_centers: int, dims: int) -> bool:
@@ -104,10 +108,11 @@ def assign_nearest(points: DataFrame, centers: DataFrame, vec: str = "embedding"
         rows = centers.orderBy("cluster_id").collect()  # at most MODEL_VALUES values
         ids = np.array([r["cluster_id"] for r in rows])
         table = np.array([r["center"] for r in rows], dtype=float)
+        find = _nearest_finder()
 
         @F.pandas_udf("cluster_id int, distance double")
         def nearest(vectors: pd.Series) -> pd.DataFrame:
-            found, dist = _nearest(np.stack(vectors.to_list()).astype(float), ids, table)
+            found, dist = find(np.stack(vectors.to_list()).astype(float), ids, table)
             return pd.DataFrame({"cluster_id": found.astype("int32"), "distance": dist})
 
         return points.select("id", nearest(F.col(vec)).alias("_hit")).select("id", "_hit.*")
@@ -132,12 +137,13 @@ def _assign_by_blocks(points: DataFrame, centers: DataFrame, vec: str, center_bl
         F.pmod(F.xxhash64("cluster_id"), F.lit(center_blocks)).alias("b"), "cluster_id",
         F.col("center").cast("array<double>").alias("v"))
     id_type = points.schema["id"].dataType.simpleString()
+    find = _nearest_finder()
 
     def best(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or table.empty:
             return pd.DataFrame({"id": [], "cluster_id": [], "distance": []})
         table = table.sort_values("cluster_id")
-        found, dist = _nearest(np.stack(rows["v"].to_list()), table["cluster_id"].to_numpy(),
+        found, dist = find(np.stack(rows["v"].to_list()), table["cluster_id"].to_numpy(),
                                np.stack(table["v"].to_list()))
         return pd.DataFrame({"id": rows["id"].to_numpy(), "cluster_id": found, "distance": dist})
 
