@@ -263,5 +263,5 @@ def sql_title(expr: str) -> str:
 
 def sql_matches(table_name: str, key: str, expr: str, pattern: str) -> str:
     """Rows (key, pos, m) of all matches of a pattern."""
-    return (f"select {key}, unnest(range(len(l))) as pos, unnest(l) as m "
+    return (f"select {key}, cast(unnest(range(len(l))) as int) as pos, unnest(l) as m "
             f"from (select {key}, regexp_extract_all({expr}, '{pattern}') as l from {table_name})")
