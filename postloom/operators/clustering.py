@@ -96,11 +96,11 @@ def silhouette_fast(points: DataFrame, label_col: str = "cluster_id", vec: str =
 
 
 def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int = SEED,
-            exact_limit: int = EXACT_LIMIT) -> list[tuple[int, float]]:
+            exact_limit: int | None = EXACT_LIMIT) -> list[tuple[int, float]]:
     """Silhouette of every candidate k from 2 to the bound; candidates with a single label are left out.
 
     Up to `exact_limit` points the silhouettes are exact Euclidean ones (quadratic work, distances shared
-    by all candidates); above, the linear variant is used.
+    by all candidates); above, the linear variant is used. None: always exact.
     """
     own_copy = not (points.is_cached and vec == "features")
     features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK) if own_copy else points
@@ -121,7 +121,7 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
         if not candidates:
             return []
         columns = [f"k{k}" for k in candidates]
-        if n > exact_limit:
+        if exact_limit is not None and n > exact_limit:
             return [(k, silhouette_fast(labelled, f"k{k}", "features")) for k in candidates]
         arrays = labelled.withColumn("embedding", vector_to_array("features"))
         means = silhouettes(arrays, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
@@ -142,7 +142,7 @@ def best_k(scores: list[tuple[int, float]]) -> int:
 
 
 def auto_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int = SEED,
-           exact_limit: int = EXACT_LIMIT) -> int:
+           exact_limit: int | None = EXACT_LIMIT) -> int:
     """Number of clusters with the best silhouette."""
     return best_k(sweep_k(points, vec, n_init, seed, exact_limit))
 

@@ -10,8 +10,8 @@ from postloom.operators.ranking import positions
 from postloom.session import checkpointed, is_small
 
 UPDATABLE = ["content", "engagement", "links"]
-# Up to this many rows a global top-n is cheaper than a distributed sort.
-TOP_N_ROWS = 100_000
+# Up to this many rows a global top-n is cheaper than a distributed sort of the keys.
+TOP_N_ROWS = 5_000
 
 
 def first_seen(df: DataFrame, order: str = "ord", key: str = "id") -> DataFrame:

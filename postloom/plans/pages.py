@@ -178,8 +178,8 @@ def page_block_links(spark, sf):
     return pages.block_links(_pages(spark, sf), H.by_tag("nav")).withColumn("first_links", F.array_join(shown, "|"))
 
 
-@query("embedded_append", """
-select id, trim(case when id % 3 = 0 then concat(content, chr(10), chr(10), '[Topic ', id, ']') else content end) as content,
+@query("embedded_append", f"""
+select id, {V.sql_strip("case when id % 3 = 0 then concat(content, chr(10), chr(10), '[Topic ', id, ']') else content end")} as content,
        concat(url, '|www.site', id, '.example.org', case when id % 2 = 0 then concat('|', url, '#e') else '' end) as links
 from text_v""")
 def embedded_append(spark, sf):

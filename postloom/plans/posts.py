@@ -139,12 +139,12 @@ def _element_rows(spark, sf):
         "id", F.when(F.col("seq") % 7 == 0, F.col("id")).otherwise("").alias("element_id"),
         F.when(F.col("seq") % 5 == 0, "feed-shared-text").when(F.col("seq") % 5 == 1, "Search-ITEM").otherwise("x")
         .alias("css_class"),
-        F.substring("content", F.lit(1), (F.col("seq") % 100).cast("int")).alias("text"))
+        F.when(F.col("seq") % 3 == 0, F.col("content")).otherwise(F.col("author")).alias("text"))
 
 
 @query("postlike_filter", f"""
 select id from posts_v where seq % 7 = 0 or seq % 5 = 0
-   or length({V.sql_strip('substring(content, 1, seq % 100)')}) > 50""")
+   or (seq % 3 = 0 and length({V.sql_strip('content')}) > 50)""")
 def postlike_filter(spark, sf):
     return post_like(_element_rows(spark, sf)).select("id")
 

@@ -109,7 +109,7 @@ def linked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("page_id").cast("string")
     return docs.join(pages, F.col("page_id") == F.col("doc_id")).select(
         F.col("doc_id").alias("id"), "url",
-        F.concat(F.substring("text", 1, 40), F.lit(" see "), "url", F.lit(", and (www.site"), number,
+        F.concat("text", F.lit(" see "), "url", F.lit(", and (www.site"), number,
                  F.lit(".example.org). x http://a.b")).alias("content"))
 
 
@@ -214,7 +214,7 @@ VIEWS_SQL = """with posts_v as (
     from posts_v where seq % 5 <> 0
 ), text_v as (
     select d.doc_id as id, p.url as url,
-           concat(substring(d.text, 1, 40), ' see ', p.url, ', and (www.site', cast(p.page_id as varchar),
+           concat(d.text, ' see ', p.url, ', and (www.site', cast(p.page_id as varchar),
                   '.example.org). x http://a.b') as content
     from documents d join pages p on p.page_id = d.doc_id
 ), tokens_v as (

@@ -1,8 +1,9 @@
 """Resumable ingest as a stream.
 
-The store is a folder with one sub-folder per micro-batch. A batch only ever adds posts whose id is not
-stored yet, so it is appended and nothing stored is rewritten. A batch that is run again after a failure
-overwrites its own sub-folder and ignores what it wrote before.
+The store is a folder with one sub-folder per stream and micro-batch. A batch only ever adds posts whose
+id is not stored yet, so it is appended and nothing stored is rewritten. A batch that is run again after a
+failure overwrites its own sub-folder and ignores what it wrote before. A stream that starts anew (its
+progress folder was lost) has another name, so it cannot overwrite earlier batches.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from postloom.session import checkpointed
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All stored posts with the number of the batch that brought them."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    """All stored posts with the stream and the number of the batch that brought them."""
+    full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()),
+                         T.StructField("batch", T.LongType())])
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
@@ -27,6 +29,18 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(full).parquet(path)
 
 
+def ingest_batch(posts: DataFrame, store: str, stream: str, number: int, max_new: int | None = None,
+                 order: str = "ord") -> None:
+    """Add the posts of a micro-batch that are not stored yet; may be repeated."""
+    # Read several times below: written once, so the extraction runs once.
+    posts = checkpointed(first_seen(posts, order))
+    schema = T.StructType([f for f in posts.schema.fields if f.name != order])
+    stored = read_store(posts.sparkSession, store, schema)
+    known = stored.where((F.col("stream") != stream) | (F.col("batch") != number))
+    fresh = cap(new_only(posts, known, few=True), max_new, order).drop(order)
+    fresh.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
+
+
 def stream_ingest(spark: SparkSession, source: DataFrame, store: str, checkpoint: str,
                   to_posts: Callable[[DataFrame], DataFrame], max_new: int | None = None,
                   order: str = "ord") -> None:
@@ -35,13 +49,8 @@ def stream_ingest(spark: SparkSession, source: DataFrame, store: str, checkpoint
     `to_posts` turns a micro-batch of source rows into posts with the scan order column.
     """
     def ingest(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        # Read three times below: written once, so the extraction runs once.
-        posts = checkpointed(first_seen(to_posts(batch), order))
-        schema = T.StructType([f for f in posts.schema.fields if f.name != order])
-        known = read_store(session, store, schema).where(F.col("batch") != number)
-        fresh = cap(new_only(posts, known, few=True), max_new, order).drop(order)
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_batch(to_posts(batch), store, stream, number, max_new, order)
 
     query = (source.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -6,7 +6,7 @@ from postloom.operators.ranking import newest_first_order, positions
 from postloom.operators.records import clusters_to_storage, normalize_clusters, normalize_posts, to_storage
 from postloom.schemas import PAGES
 from postloom.sources import store as S
-from postloom.streaming.ingest import read_store, stream_ingest
+from postloom.streaming.ingest import ingest_batch, read_store, stream_ingest
 
 
 def frame(spark, rows, schema):
@@ -159,13 +159,28 @@ def test_stream_in_two_batches_equals_one(spark, tmp_path):
     assert run("two", [rows[:8], rows[8:]]) == want
 
 
-def test_stream_batch_can_run_again(spark, tmp_path):
-    """A batch that is replayed after its rows were written gives the same store."""
+def test_stream_that_starts_anew_adds_nothing_twice(spark, tmp_path):
     schema = "id string, content string, ord bigint"
     source, target = str(tmp_path / "in"), str(tmp_path / "store")
     spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], schema).write.parquet(source)
     stored = spark.createDataFrame([], schema).drop("ord").schema
-    for attempt in ("first", "second"):  # a lost progress folder makes the stream start again
+    for attempt in ("first", "second"):  # the second finds no progress folder
         stream = spark.readStream.schema(schema).parquet(source)
         stream_ingest(spark, stream, target, str(tmp_path / attempt), lambda df: df)
-    assert sorted(r["id"] for r in read_store(spark, target, stored).collect()) == ["a", "b"]
+    rows = read_store(spark, target, stored).collect()
+    assert sorted(r["id"] for r in rows) == ["a", "b"] and len({r["stream"] for r in rows}) == 1
+
+
+def test_batch_can_run_again(spark, tmp_path):
+    """A batch that failed half-way, here after it wrote other rows, is replaced by its repetition."""
+    schema = "id string, content string, ord bigint"
+    target = str(tmp_path / "store")
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, "x", n) for n, i in enumerate(ids)], schema)
+
+    ingest_batch(rows("a", "b"), target, "s", 0)
+    ingest_batch(rows("b", "c"), target, "s", 1)
+    ingest_batch(rows("a", "c", "d", "c"), target, "s", 1)
+    stored = read_store(spark, target, rows().drop("ord").schema).collect()
+    assert sorted((r["id"], r["batch"]) for r in stored) == [("a", 0), ("b", 0), ("c", 1), ("d", 1)]
