@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postloom.operators import charts, clustering, exports, ingest, keywords, labels, reports
 from postloom.operators.extract import extract_detail, extract_posts
 from postloom.schemas import CLUSTERS, POSTS
-from postloom.session import checkpointed
+from postloom.session import checkpointed, is_small
 from postloom.sources.store import read_version, write_version
 from postloom.sources.tables import load_clusters, load_posts
 
@@ -42,7 +42,7 @@ class PostLibrary:
         found = extract_posts(pages).withColumn("ord", F.struct("page_id", "pos")).drop("page_id", "pos")
         # The extracted posts are read several times below.
         seen = checkpointed(ingest.first_seen(found))
-        fresh = ingest.cap(ingest.new_only(seen, stored, few=True), max_new)
+        fresh = ingest.cap(ingest.new_only(seen, stored, small=is_small(seen.select("id"))), max_new)
         if details is not None:
             wanted = details.join(fresh.select("id"), "id", "left_semi")
             fresh = ingest.enrich_merge(fresh, extract_detail(wanted))

@@ -24,18 +24,15 @@ def first_seen(df: DataFrame, order: str = "ord", key: str = "id") -> DataFrame:
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def new_only(incoming: DataFrame, known: DataFrame, key: str = "id", few: bool = False) -> DataFrame:
+def new_only(incoming: DataFrame, known: DataFrame, key: str = "id", small: bool = False) -> DataFrame:
     """Incoming rows whose id is not known yet.
 
-    With `few` (a caller that has a materialised, possibly small batch) the size of the batch is checked;
-    if it is small, the known ids are first reduced to those that occur in it, which spares the shuffle
-    of the whole known set.
+    With `small` (the caller has proven that the batch fits a broadcast, see `is_small`) the known ids
+    are first reduced to those that occur in it, which spares the shuffle of the whole known set.
     """
     ids = known.select(key)
-    if few:
-        incoming_ids = incoming.select(key)
-        if is_small(incoming_ids):
-            ids = ids.join(F.broadcast(incoming_ids), key, "left_semi")
+    if small:
+        ids = ids.join(F.broadcast(incoming.select(key)), key, "left_semi")
     return incoming.join(ids, key, "left_anti")
 
 
@@ -119,7 +116,7 @@ def upsert_posts(store: DataFrame, batch: DataFrame, updatable: list[str] = UPDA
 
     if small:
         kept = left.join(F.broadcast(right), same, "left").select(*[merged(c) for c in columns])
-        fresh = new_only(incoming, store, key, few=True)
+        fresh = new_only(incoming, store, key, small=True)
         result = kept.unionByName(fresh.select(*columns))
     else:
         result = left.join(right, same, "full_outer").select(*[merged(c) for c in columns])

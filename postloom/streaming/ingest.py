@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.operators.ingest import cap, first_seen, new_only
-from postloom.session import checkpointed
+from postloom.session import checkpointed, is_small
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -37,7 +37,7 @@ def ingest_batch(posts: DataFrame, store: str, stream: str, number: int, max_new
     schema = T.StructType([f for f in posts.schema.fields if f.name != order])
     stored = read_store(posts.sparkSession, store, schema)
     known = stored.where((F.col("stream") != stream) | (F.col("batch") != number))
-    fresh = cap(new_only(posts, known, few=True), max_new, order).drop(order)
+    fresh = cap(new_only(posts, known, small=is_small(posts.select("id"))), max_new, order).drop(order)
     fresh.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
 
 
