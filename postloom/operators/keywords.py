@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import title_case, tokens
 from postloom.operators.ranking import newest_first_order, positions
+from postloom.session import checkpointed
 
 MAX_FEATURES = 1000
 TOP_TERMS = 5
@@ -99,6 +100,11 @@ def describe_clusters(assigned: DataFrame, ids: DataFrame | None = None, stop: l
     `ids` lists clusters that must appear even when they have no posts.
     """
     sizes = assigned.where("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("post_count"))
+    if n_clusters is None and ids is not None:
+        n_clusters = ids.count()
+    elif n_clusters is None:
+        sizes = checkpointed(sizes)  # one row per cluster: sizes and their number in one pass
+        n_clusters = sizes.count()
     if ids is not None:
         sizes = ids.select("cluster_id").join(sizes, "cluster_id", "left").fillna(0, ["post_count"])
     words = cluster_keywords(assigned, n, stop, n_clusters=n_clusters)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,8 @@ def test_stream_that_starts_anew_adds_nothing_twice(spark, tmp_path):
         stream_ingest(spark, stream, target, str(tmp_path / attempt), lambda df: df)
     rows = read_store(spark, target, stored).collect()
     assert sorted(r["id"] for r in rows) == ["a", "b"] and len({r["stream"] for r in rows}) == 1
+    names = {name for name in os.listdir(target) if name.startswith("stream=")}
+    assert len(names) == 2 and all(len(name) > 30 for name in names)
 
 
 def test_batch_can_run_again(spark, tmp_path):
