@@ -11,7 +11,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.keywords import describe_clusters
@@ -149,11 +149,11 @@ def auto_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int
 
 def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, vectors: DataFrame | None = None,
                   method="tfidf", stop: list[str] | None = None, n_init: int = RESTARTS, seed: int = SEED,
-                  min_size: int | None = None) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+                  min_size: int | None = None, exact_limit: int | None = EXACT_LIMIT) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
     """Cluster posts: `(assignments, clusters)`, or two Nones below `min_posts`.
 
     `vectors` gives precomputed embeddings by id; otherwise the text is embedded with `method`. With
-    `min_size`, smaller clusters are merged into the nearest larger one.
+    `min_size`, smaller clusters are merged into the nearest larger one. `exact_limit` as in `sweep_k`.
     """
     if posts.limit(min_posts).count() < min_posts:
         return None, None
@@ -162,7 +162,7 @@ def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, ve
     features = _features(rows, "embedding").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = features.count()
-        chosen = bound_k(auto_k(features, "features", seed=seed) if k is None else k, n)
+        chosen = bound_k(auto_k(features, "features", seed=seed, exact_limit=exact_limit) if k is None else k, n)
         model = fit_kmeans(features, chosen, n_init, seed)
         labelled = label(model, features.withColumn("vector", F.col("features")))
         moves = checkpointed(small_cluster_moves(labelled, min_size, "vector")) if min_size else None
