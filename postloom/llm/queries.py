@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postloom.llm.exact import exact_groups
+from postloom.llm.mixing import mix_documents
 from postloom.llm.packing import pack_documents
+from postloom.llm.simhash import simhash_groups
 from postloom.llm.tokenfiles import token_offsets, write_token_files
 from postloom.session import shared_path
 
@@ -29,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
@@ -48,3 +55,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_source_mix")
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
