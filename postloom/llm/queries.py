@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from postloom.llm.exact import exact_groups
 from postloom.llm.mixing import mix_documents
 from postloom.llm.packing import pack_documents
+from postloom.llm.pivots import near_vectors
 from postloom.llm.simhash import simhash_groups
 from postloom.llm.tokenfiles import token_offsets, write_token_files
+from postloom.llm.wordpieces import piece_counts
 from postloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +62,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_piece_counts")
+def op8_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_pivot_index")
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return near_vectors(vectors).withColumnRenamed("id", "vec_id")
