@@ -12,6 +12,7 @@ from postloom.llm.packing import pack_documents
 from postloom.llm.pivots import near_vectors
 from postloom.llm.simhash import simhash_groups
 from postloom.llm.tokenfiles import token_offsets, write_token_files
+from postloom.llm.toxicity import toxicity
 from postloom.llm.wordpieces import piece_counts
 from postloom.session import shared_path
 
@@ -45,6 +46,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(spark, path)
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(documents(spark, sf_dir), labels).withColumnRenamed("id", "doc_id")
+
+
 @query("op6_exact_dedup", """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
        doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
