@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.llm.exact import exact_groups
+from postloom.llm.lines import dedup_lines
 from postloom.llm.mixing import mix_documents
 from postloom.llm.packing import pack_documents
 from postloom.llm.pivots import near_vectors
 from postloom.llm.simhash import simhash_groups
+from postloom.llm.substrings import dedup_substrings
 from postloom.llm.tokenfiles import token_offsets, write_token_files
 from postloom.llm.toxicity import toxicity
 from postloom.llm.wordpieces import piece_counts
@@ -34,6 +37,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_links",
+                        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
@@ -46,6 +56,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(spark, path)
 
 
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
