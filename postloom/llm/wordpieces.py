@@ -46,12 +46,16 @@ def byte_level_pieces(path: str | None = None, end: str = "</w>") -> list[tuple[
 
 
 class PieceCounter:
-    """Counts the pieces of words by greedy longest match; any piece may start or continue a word."""
+    """Counts the pieces of words by greedy longest match; any piece may start or continue a word.
+
+    A piece that ends in `END` matches only the end of a word, and is longer than the same one without; an end
+    that no piece takes along is no piece of its own.
+    """
 
     def __init__(self, pieces: Iterable[tuple[int, ...]]):
         self.goto: dict[int, int] = {}   # node * 512 + symbol
         is_piece, children = [False], [[]]
-        for piece in pieces:
+        for piece in [*pieces, (END,)]:
             node = 0
             for symbol in piece:
                 step = self.goto.get(node << 9 | symbol)
@@ -69,7 +73,7 @@ class PieceCounter:
             for symbol, node in children[parent]:
                 queue.append(node)
                 if is_piece[node]:
-                    self.fail[node], self.popped[node] = 0, 1
+                    self.fail[node], self.popped[node] = 0, int((parent, symbol) != (0, END))
                     continue
                 rest, popped = self.fail[parent], self.popped[parent]
                 while rest >= 0 and (step := self.goto.get(rest << 9 | symbol)) is None:
