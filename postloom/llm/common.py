@@ -19,16 +19,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write `df` to a fresh table in the shared checkpoint folder and read on from there.
 
     Cuts the lineage: a lost executor costs only the tasks it ran, and the table is read as often as wanted.
+    With `files`, small rows are dealt to that many files first, whatever the number of tasks that made them.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if files is None else df.repartition(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(source: DataFrame, share: float) -> int:
+    """Files of about 64 MB for a table that has `share` of the bytes of `source`, by Spark's own estimate; no
+    more than shuffle partitions, since the estimate of a joined source can be far too high."""
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(1 + int(size * share) // (64 << 20), partitions(source.sparkSession))
+
+
 def column(name: str) -> Column:
     """A top-level column by its name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import column, stored
+from postloom.llm.common import column, files_for, stored
 
 INDEX = "bucket int, digest binary, keep_id long, group_size long, filter binary"
 
@@ -200,8 +200,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: Column | str = "
     document), and a text whose ids are all null keeps them all. A null text equals an empty one. An empty
     table gives no rows. Texts are compared by their SHA-256.
     """
-    digests = stored(text_digests(docs, id_col, text), "digests")
-    index = stored(update_index(digests), "digest-index").where("digest is not null")
+    files = files_for(docs, 0.03)
+    digests = stored(text_digests(docs, id_col, text), "digests", files)
+    index = stored(update_index(digests), "digest-index", files).where("digest is not null")
     # The digest of a hot text is one row on the right; the sort-merge join splits its rows on the left.
     found = digests.join(index.select("digest", "keep_id", "group_size"), "digest")
     return found.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),

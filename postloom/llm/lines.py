@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import column, stored
+from postloom.llm.common import column, files_for, stored
 from postloom.session import broadcast_if_small
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -83,17 +83,17 @@ def similar_sets(texts: DataFrame, classes: DataFrame, ranks: Column, similar: t
     most = F.least(col("a.n") - col("a.i"), col("b.n") - col("b.i"))
     position = most * (num + den) >= (col("a.n") + col("b.n")) * num
     met = stored(a.join(b, (col("a.w") == col("b.w")) & once & length & position).select(
-        "a.k1", "a.k2", col("b.k1").alias("o1"), col("b.k2").alias("o2")).distinct(), "line-candidates")
+        "a.k1", "a.k2", col("b.k1").alias("o1"), col("b.k2").alias("o2")).distinct(), "line-candidates", files_for(classes, 0.3))
     # Only the lines that met another are read again, each at its address.
     wanted = met.select("k1", "k2").union(met.select("o1", "o2")).distinct()
     found = (wanted.join(classes.select("k1", "k2", "first"), ["k1", "k2"])
              .groupBy(col("first.id").alias("id"), col("first.key").alias("key"))
              .agg(F.collect_list(F.struct("k1", "k2", "first")).alias("found")))
-    bodies = texts.join(broadcast_if_small(stored(found, "candidate-lines")), ["id", "key"]).withColumn(
+    bodies = texts.join(broadcast_if_small(stored(found, "candidate-lines", files_for(classes, 0.3))), ["id", "key"]).withColumn(
         "bodies", F.split("text", "\n"))
     again = bodies.select("bodies", F.explode("found").alias("x"))
     sets = stored(again.select("x.*", word_set(F.get("bodies", col("x.first.line")), ranks).alias("s"))
-                  .dropDuplicates(["k1", "k2"]), "candidate-sets")
+                  .dropDuplicates(["k1", "k2"]), "candidate-sets", files_for(classes, 0.5))
     other = sets.select(col("k1").alias("o1"), col("k2").alias("o2"), col("first").alias("other"), col("s").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     both = met.join(sets, ["k1", "k2"]).join(other, ["o1", "o2"])
@@ -116,10 +116,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         ).withColumn("key", F.xxhash64("text"))
     known = texts.where("id is not null")
     ranks = word_ranks(known)
-    sets = stored(line_sets(known, ranks, similar), "line-sets")
-    classes = stored(set_classes(sets), "line-classes")
+    sets = stored(line_sets(known, ranks, similar), "line-sets", files_for(docs, 0.5))
+    classes = stored(set_classes(sets), "line-classes", files_for(docs, 0.5))
     links = stored(similar_sets(known, classes, ranks, similar).select(
-        "k1", "k2", "o1", "o2", (F.col("first") > F.col("other")).alias("later")), "line-links")
+        "k1", "k2", "o1", "o2", (F.col("first") > F.col("other")).alias("later")), "line-links",
+                   files_for(classes, 0.2))
     ends = links.select("k1", "k2", "later").union(links.select("o1", "o2", ~F.col("later")))
     linked = ends.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("later").alias("goes"))
     verdict = classes.select("k1", "k2", "first").join(linked, ["k1", "k2"], "left")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WORD, column, stored
+from postloom.llm.common import WORD, column, files_for, stored
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
@@ -24,7 +24,7 @@ ROUNDS = 16
 #: Slots made from one row.
 RUN = 16_384
 #: Documents of a source that are numbered in one task.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 5_000
 
 
 def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Column:
@@ -157,9 +157,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size 0 and nothing is taken from it; repeated rows are separate documents with one result each; null ids
     are kept. An empty table gives no rows. Reruns agree, since every draw is a hash of `seed`.
     """
-    sized = stored(sized_documents(docs, id_col, text_col, source_col), "sizes")
-    targets = stored(source_targets(sized, weights, most), "targets")
-    places = stored(placed(sized, targets), "places")
+    files = files_for(docs, 0.03)
+    sized = stored(sized_documents(docs, id_col, text_col, source_col), "sizes", files)
+    targets = stored(source_targets(sized, weights, most), "targets", 1)
+    places = stored(placed(sized, targets), "places", files)
     slots = mix_slots(mix_plan(targets, block, most, seed), seed=seed)
     whole = F.col("uses") * (F.col("high") - F.col("low")) + F.col("cut") - F.col("low")
     taken = block_uses(places, slots, block).groupBy("sid", "start", "size").agg(F.sum(whole).alias("taken"))
@@ -178,9 +179,11 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = F.xxhash64(*map(column, docs.columns))
     same = Window.partitionBy("id", "key")
-    sized = stored(sized_documents(docs, id_col, text_col, source_col, key), "sizes")
-    targets = stored(source_targets(sized, weights, most), "targets")
-    places = stored(placed(sized, targets).withColumn("nth", F.row_number().over(same.orderBy("start"))), "places")
+    files = files_for(docs, 0.03)
+    sized = stored(sized_documents(docs, id_col, text_col, source_col, key), "sizes", files)
+    targets = stored(source_targets(sized, weights, most), "targets", 1)
+    places = stored(placed(sized, targets).withColumn("nth", F.row_number().over(same.orderBy("start"))), "places",
+                    files)
     slots = mix_slots(mix_plan(targets, block, most, seed), seed=seed)
     uses = block_uses(places, slots, block)
     spans = F.concat(F.array_repeat(F.struct("low", F.col("high").alias("stop")), F.col("uses").cast("int")),

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import id_and_text, stored
+from postloom.llm.common import files_for, id_and_text, stored
 from postloom.llm.tokens import encoded, load_definition
 
 PIECES = ("id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
@@ -116,7 +116,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if capacity < 1:
         raise ValueError("capacity must be positive")
     pieces = stored(cut_pieces(id_and_text(docs, id_col, text_col), capacity, load_definition(tokenizer), end_id,
-                               with_ids), "pieces")
+                               with_ids), "pieces", files_for(docs, 2 if with_ids else 0.05))
     per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     moves = np.array(best_fit(counts, capacity), np.int64).reshape(-1, 5)  # by length, then by rank

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import column, stored
+from postloom.llm.common import column, files_for, stored
 from postloom.llm.components import components
 
 #: Members of a list compared in one piece; longer lists are cut into pairs of chunks.
@@ -68,7 +68,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     good = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)
             & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
     classes = stored(rows.where(F.coalesce(good, F.lit(False))).groupBy("label", "vec").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vector-classes")
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vector-classes", files_for(vectors, 2))
     sizes = classes.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()
     links = None
     for dims, n in sorted(tuple(r) for r in sizes):  # one length in any sane table
@@ -76,8 +76,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         links = some if links is None else links.unionByName(some)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
-    links = stored(links, "vector-links")
-    found = components(links.select("a", "b"))
+    links = stored(links, "vector-links", files_for(vectors, 0.5))
+    found = components(links.select("a", "b"), links.count())
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     verdict = (classes.join(counts, "id", "left").join(found, "id", "left").select(
         "label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
@@ -95,7 +95,7 @@ def _links(classes: DataFrame, n: int, least: float, pivots: int | None, shared:
     if pivots is None:
         pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << (int(n ** 0.5)).bit_length()))
     members = stored(_described(classes.select("id", "label", "weight", "vec"), choose_pivots(classes, pivots)),
-                     "described-vectors")
+                     "described-vectors", files_for(classes, 1.2))
     lists = members.select("*", F.explode("near").alias("pivot"))
     sizes = lists.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.where("size > 1").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import id_and_text, partitions, stored, text_slices
+from postloom.llm.common import files_for, id_and_text, partitions, stored, text_slices
 from postloom.llm.components import components
 
 #: Fingerprints of a group that are compared in one piece; larger groups are cut into pairs of chunks.
@@ -188,9 +188,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null ids take no part in the links; their rows get the component of their fingerprint, or null if no
     row with an id has it. Repeated rows keep their rows. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-classes")
-    linked = components(near_links(classes.where("rep is not null")))
+    files = files_for(docs, 0.02)
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints", files)
+    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-classes", files)
+    linked = components(near_links(classes.where("rep is not null")), classes.count())
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(
         "fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(named, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -165,7 +165,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     once = (sample.withColumn("digest", F.xxhash64("text")).groupBy("digest")
             .agg(F.first("text").alias("text"), *[F.max(y).alias(y) for y in ys]))
     described = stored(once.mapInArrow(describe, f"digest long, {kinds}, features array<string>, "
-                                                 "figures array<double>"), "toxicity-sample")
+                                                 "figures array<double>"), "toxicity-sample", 8)
     totals = described.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = totals["n"]
     chain = Chain(names)
