@@ -25,13 +25,16 @@ def post_url(post_id: Column) -> Column:
                   F.concat(F.lit(POST_URL_PREFIX), post_id)).otherwise(F.lit(""))
 
 
-def surrogate_id(post_id: Column, text: Column) -> Column:
-    """The given id, or the md5 of the first 100 characters of the text where there is none."""
-    return F.coalesce(unless(post_id, ""), F.md5(F.substring(text, 1, 100)))
+def surrogate_id(post_id: Column, text: Column, prefix: int | None = None) -> Column:
+    """The given id, or the md5 of the whole text where there is none.
+
+    With `prefix` only that many characters are hashed, so different texts with one opening share an id.
+    """
+    return F.coalesce(unless(post_id, ""), F.md5(text if prefix is None else F.substring(text, 1, prefix)))
 
 
 def page_file_key(post_id: Column) -> Column:
-    """File name stem: letters, digits and `._-` of the id, 50 characters at most."""
+    """File name stem: letters, digits and `._-` of the id, 50 characters at most; long ids can share one."""
     return F.substring(F.regexp_replace(post_id, r"[^\p{L}\p{N}._-]", ""), 1, 50)
 
 
@@ -42,6 +45,7 @@ def clean_author(text: Column) -> Column:
 
 def clean_profile(href: Column) -> Column:
     """Profile address without tracking query; empty if it is no profile address."""
+    # The address pattern below is a fixed value.
     def cleaned(address: Column) -> Column:
         canonical = F.regexp_extract(address, r"^(https?://www\.linkedin\.com/in/[^?]+)", 1)
         return F.when(F.contains(address, F.lit("/in/")),

@@ -44,20 +44,20 @@ def treemap_nodes(posts: DataFrame, clusters: DataFrame) -> DataFrame:
 def scatter_points(posts: DataFrame, clusters: DataFrame, vectors: DataFrame) -> DataFrame:
     """2-D projection (first two principal components) of the clustered posts, with hover text.
 
-    Empty below four posts.
+    Empty below four posts. A post without a vector has no place: its x and y are null.
     """
     hover = F.concat(F.lit("<b>"), "author", F.lit("</b><br>"), preview(F.col("content"), 120, trim=True),
                      F.lit("..."))
     points = with_clusters(posts, clusters).select(
         "id", hover.alias("text"), F.col("c_id").alias("cluster_id"), F.col("c_summary").alias("cluster_name"))
-    joined = points.join(read_vectors(vectors), "id")
+    joined = points.select("id").join(read_vectors(vectors), "id")  # the fit takes posts with a vector only
     if joined.limit(MIN_PROJECTED).count() < MIN_PROJECTED:
         return points.where(F.lit(False)).select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "text",
                                                  "cluster_id", "cluster_name")
     model = PCA(k=2, inputCol="features", outputCol="projected").fit(joined.select("features"))
     xy = vector_to_array("projected")
-    return model.transform(joined).select("id", xy[0].alias("x"), xy[1].alias("y"), "text", "cluster_id",
-                                          "cluster_name")
+    places = model.transform(joined).select("id", xy[0].alias("x"), xy[1].alias("y"))
+    return points.join(places, "id", "left").select("id", "x", "y", "text", "cluster_id", "cluster_name")
 
 
 def network_nodes(posts: DataFrame, clusters: DataFrame) -> DataFrame:

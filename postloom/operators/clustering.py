@@ -26,8 +26,6 @@ MAX_AUTO_K = 20
 # Fits of up to this many points run side by side.
 PARALLEL_FITS = 4
 PARALLEL_POINTS = 1_000_000
-# Exact silhouettes are quadratic; above this many points the linear variant decides.
-EXACT_LIMIT = 5_000
 
 
 def bound_k(k: int, n: int) -> int:
@@ -96,12 +94,14 @@ def silhouette_fast(points: DataFrame, label_col: str = "cluster_id", vec: str =
 
 
 def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int = SEED,
-            exact_limit: int | None = EXACT_LIMIT) -> list[tuple[int, float]]:
+            silhouette: str = "squared") -> list[tuple[int, float]]:
     """Silhouette of every candidate k from 2 to the bound; candidates with a single label are left out.
 
-    Up to `exact_limit` points the silhouettes are exact Euclidean ones (quadratic work, distances shared
-    by all candidates); above, the linear variant is used. None: always exact.
+    `silhouette` names the measure, at every size: "squared" is the squared Euclidean one, linear in the
+    number of points; "exact" the Euclidean one, quadratic, with distances shared by all candidates.
     """
+    if silhouette not in ("squared", "exact"):
+        raise ValueError("silhouette is 'squared' or 'exact'")
     own_copy = not (points.is_cached and vec == "features")
     features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK) if own_copy else points
     try:
@@ -121,7 +121,7 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
         if not candidates:
             return []
         columns = [f"k{k}" for k in candidates]
-        if exact_limit is not None and n > exact_limit:
+        if silhouette == "squared":
             return [(k, silhouette_fast(labelled, f"k{k}", "features")) for k in candidates]
         arrays = labelled.withColumn("embedding", vector_to_array("features"))
         means = silhouettes(arrays, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
@@ -142,27 +142,39 @@ def best_k(scores: list[tuple[int, float]]) -> int:
 
 
 def auto_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: int = SEED,
-           exact_limit: int | None = EXACT_LIMIT) -> int:
+           silhouette: str = "squared") -> int:
     """Number of clusters with the best silhouette."""
-    return best_k(sweep_k(points, vec, n_init, seed, exact_limit))
+    return best_k(sweep_k(points, vec, n_init, seed, silhouette))
 
 
 def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, vectors: DataFrame | None = None,
                   method="tfidf", stop: list[str] | None = None, n_init: int = RESTARTS, seed: int = SEED,
-                  min_size: int | None = None, exact_limit: int | None = EXACT_LIMIT) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+                  min_size: int | None = None, silhouette: str = "squared", auto_n_init: int = 1,
+                  missing: str = "raise") -> tuple[DataFrame, DataFrame] | tuple[None, None]:
     """Cluster posts: `(assignments, clusters)`, or two Nones below `min_posts`.
 
-    `vectors` gives precomputed embeddings by id; otherwise the text is embedded with `method`. With
-    `min_size`, smaller clusters are merged into the nearest larger one. `exact_limit` as in `sweep_k`.
+    `vectors` gives precomputed embeddings by id; otherwise the text is embedded with `method`, once. Posts
+    without a given vector raise an error with their number, or with `missing="null"` are assigned no cluster.
+    With `min_size`, smaller clusters are merged into the nearest larger one. `silhouette` and `auto_n_init`
+    (restarts per candidate k) as in `sweep_k`.
     """
     if posts.limit(min_posts).count() < min_posts:
         return None, None
     rows = posts.select("id", "content")
-    rows = embed(rows, method=method) if vectors is None else rows.join(vectors.select("id", "embedding"), "id")
-    features = _features(rows, "embedding").persist(StorageLevel.MEMORY_AND_DISK)
+    # Embedded once and written: the fits, the labels and the sizes below agree whatever the embedder does.
+    points = checkpointed((embed(rows, method=method) if vectors is None else rows.join(
+        vectors.select("id", "embedding"), "id", "left")).select("id", "embedding"))
+    without = points.where("embedding is null").select("id")
+    if vectors is not None and missing != "null" and (n := without.count()):
+        raise ValueError(f"{n} posts have no vector")
+    points = points.where("embedding is not null")
+    features = _features(points, "embedding").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = features.count()
-        chosen = bound_k(auto_k(features, "features", seed=seed, exact_limit=exact_limit) if k is None else k, n)
+        if n < 2:
+            return None, None
+        chosen = k if k is not None else auto_k(features, "features", auto_n_init, seed, silhouette)
+        chosen = bound_k(chosen, n)
         model = fit_kmeans(features, chosen, n_init, seed)
         labelled = label(model, features.withColumn("vector", F.col("features")))
         moves = checkpointed(small_cluster_moves(labelled, min_size, "vector")) if min_size else None
@@ -170,12 +182,11 @@ def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, ve
         assignments = checkpointed(move_clusters(labelled, moves) if min_size else labelled)
     finally:
         features.unpersist()
-    # The model labels the rows where they are: the texts are not shuffled to meet their labels.
-    assigned = label(model, rows.withColumn("features", as_vector(rows, "embedding")))
     ids = posts.sparkSession.range(1, chosen + 1).select(F.col("id").cast("int").alias("cluster_id"))
     if min_size:
-        assigned = move_clusters(assigned, moves)
         ids = ids.join(moves.select("cluster_id"), "cluster_id", "left_anti")
         chosen = ids.count()
-    clusters = describe_clusters(assigned, ids, stop, n_clusters=chosen)
+    clusters = describe_clusters(rows.join(assignments, "id"), ids, stop, n_clusters=chosen)
+    if vectors is not None:
+        assignments = assignments.unionByName(without.withColumn("cluster_id", F.lit(None).cast("int")))
     return assignments, clusters.withColumn("created_at", F.current_timestamp())

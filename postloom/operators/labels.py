@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import preview
@@ -31,15 +31,25 @@ def prompt_batches(posts: DataFrame, size: int = 200) -> DataFrame:
                                      F.count(F.lit(1)).alias("n"))
 
 
-def parse_labels(replies: DataFrame, text: str = "reply", key: str = "reply_id") -> DataFrame:
-    """Lists of a JSON reply, one row per list with its position; a reply inside a code fence is unwrapped.
-
-    A reply that is not valid JSON fails the job.
-    """
+def _lists(text: str, mode: str) -> Column:
+    """The lists of a reply; one inside a code fence is unwrapped."""
     raw = F.col(text)
     inside = F.regexp_extract(raw, r"(?s)\[.*\]", 0)
     body = F.when(F.contains(raw, F.lit("```")), inside).otherwise(raw)
-    lists = F.from_json(body, LABEL_REPLY, {"mode": "FAILFAST"})
+    return F.from_json(body, LABEL_REPLY, {"mode": mode})
+
+
+def malformed_replies(replies: DataFrame, text: str = "reply", key: str = "reply_id") -> DataFrame:
+    """`(reply_id, reply)` of the replies that `parse_labels` cannot read: no valid JSON, or null."""
+    return replies.where(_lists(text, "PERMISSIVE").isNull()).select(key, text)
+
+
+def parse_labels(replies: DataFrame, text: str = "reply", key: str = "reply_id", strict: bool = True) -> DataFrame:
+    """Lists of a JSON reply, one row per list with its position; a reply inside a code fence is unwrapped.
+
+    A reply that is not valid JSON fails the job, or unless `strict` is left to `malformed_replies`.
+    """
+    lists = _lists(text, "FAILFAST" if strict else "PERMISSIVE")
     return replies.select(key, F.posexplode(lists).alias("pos", "label")).select(
         key, "pos", "label.name", "label.description",
         F.coalesce("label.keywords", F.array().cast("array<string>")).alias("keywords"),
@@ -48,8 +58,12 @@ def parse_labels(replies: DataFrame, text: str = "reply", key: str = "reply_id")
 
 def number_labels(labels: DataFrame, key: str = "reply_id") -> DataFrame:
     """Lists with their cluster id: 1-based place over all replies in order (one reply: place in its array)."""
-    numbers = positions(labels, [key, "pos"], [F.col(key), F.col("pos")], name="cluster_id")
-    return labels.join(numbers.withColumn("cluster_id", F.col("cluster_id").cast("int")), [key, "pos"])
+    # One row per reply: how many lists the replies before it have.
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    shift = labels.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(
+        key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = (F.col("pos") + F.col("_shift") + 1).cast("int")
+    return labels.join(shift, key).withColumn("cluster_id", place).drop("_shift")
 
 
 def _claims(numbered: DataFrame) -> DataFrame:

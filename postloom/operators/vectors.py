@@ -32,11 +32,12 @@ def as_vector(df: DataFrame, vec: str) -> Column:
     return array_to_vector(F.col(vec).cast("array<double>"))
 
 
-def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384) -> DataFrame:
+def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384, min_count: int = 5) -> DataFrame:
     """Add an `embedding` array to each row.
 
     `tfidf`: hashed term frequencies times inverse document frequency, unit length. `word2vec`: mean word
-    vector. A callable maps an iterator of pandas text series to an iterator of lists of vectors; it is
+    vector, trained in one task per input partition; words seen fewer than `min_count` times are left out, and
+    the vocabulary (a vector of `size` for each word) must fit the driver. A callable maps an iterator of pandas text series to an iterator of lists of vectors; it is
     called once per task, so a model it loads first serves all its batches.
     """
     if callable(method):
@@ -52,7 +53,8 @@ def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384)
         weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted.select("_tf")).transform(counted)
         encoded = Normalizer(inputCol="_idf", outputCol="_vec").transform(weighted)
     elif method == "word2vec":
-        model = Word2Vec(vectorSize=size, minCount=1, seed=42, inputCol="_words", outputCol="_vec")
+        model = Word2Vec(vectorSize=size, minCount=min_count, numPartitions=words.rdd.getNumPartitions(), seed=42,
+                         inputCol="_words", outputCol="_vec")
         encoded = model.fit(words.select("_words")).transform(words)
     else:
         raise ValueError(f"unknown embedding method {method!r}")
@@ -83,10 +85,16 @@ def cluster_cost(points: DataFrame, vec: str = "embedding") -> DataFrame:
 def _nearest_finder() -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """The function tasks run; made here, it travels with them and needs no package on the workers."""
     def nearest(vectors: np.ndarray, ids: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # Distances equal to nine places go to the smaller id (ids ascend).
-        dist = np.sqrt(np.stack([((vectors - c) ** 2).sum(axis=1) for c in centers], axis=1))
-        best = np.round(dist, 9).argmin(axis=1)
-        return ids[best], dist[np.arange(len(vectors)), best]
+        # Distances equal to nine places go to the smaller id (ids ascend). One centre at a time against the
+        # best so far: memory is a few numbers per vector, whatever the number of centres.
+        best, least = np.zeros(len(vectors), int), np.full(len(vectors), np.inf)
+        rounded = least.copy()
+        for i, c in enumerate(centers):
+            dist = np.sqrt(((vectors - c) ** 2).sum(axis=1))
+            near = np.round(dist, 9)
+            closer = near < rounded
+            best[closer], least[closer], rounded[closer] = i, dist[closer], near[closer]
+        return ids[best], least
 
     return nearest
 
@@ -101,6 +109,7 @@ def assign_nearest(points: DataFrame, centers: DataFrame, vec: str = "embedding"
     A centroid table up to `MODEL_VALUES` values travels with the tasks and the points are not shuffled;
     a larger one is split into blocks that are compared with blocks of points, each pair in its own task.
     """
+    centers = checkpointed(centers)  # read twice below; an aggregation over all points may stand behind it
     size = centers.select(F.size("center").alias("d")).agg(F.count(F.lit(1)).alias("k"), F.max("d").alias("d")).first()
     if size["k"] == 0:
         raise ValueError("no centroids")

@@ -115,9 +115,11 @@ def clear_clusters(spark, sf):
     return left.join(clusters.agg(F.count(F.lit(1)).alias("n_clusters")), F.lit(True))
 
 
-@query("stream_ingest", f"""
-select concat('urn:li:page:', page_id) as id, url, md5({V.sql_text('html')}) as digest from pages""")
-def stream_ingest_query(spark, sf):
+STREAM_SQL = f"""
+select concat('urn:li:page:', page_id) as id, url, md5({V.sql_text('html')}) as digest from pages"""
+
+
+def _streamed(spark, sf, runs):
     schema = "page_id bigint, url string, html string"
     source = (spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf))
 
@@ -128,7 +130,21 @@ def stream_ingest_query(spark, sf):
         return twice.select(surrogate_id(post_id, text).alias("id"), "url", text.alias("content"),
                             (F.col("page_id") + F.col("again")).alias("ord"))
 
-    store = shared_path(spark, "store")
-    stream_ingest(spark, source, store, shared_path(spark, "progress"), to_posts)
+    store, progress = shared_path(spark, "store"), shared_path(spark, "progress")
+    for _ in range(runs):
+        # A third of the pages a run, rounded up, where there are several.
+        most = None if runs == 1 else 1 + V.table(spark, sf, "pages").count() // runs
+        stream_ingest(spark, source, store, progress, to_posts, most)
     stored = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "url", "content")])
     return read_store(spark, store, stored).select("id", "url", F.md5("content").alias("digest"))
+
+
+@query("stream_ingest", STREAM_SQL)
+def stream_ingest_query(spark, sf):
+    return _streamed(spark, sf, 1)
+
+
+@query("stream_ingest_capped", STREAM_SQL)
+def stream_ingest_capped(spark, sf):
+    """Three capped runs over one input store every page."""
+    return _streamed(spark, sf, 3)

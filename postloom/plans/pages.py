@@ -205,8 +205,8 @@ def extract_posts(spark, sf):
 
 
 @query("post_info", f"""
-select page_id, pos, md5(substring(t, 1, 100)) as id, 'unknown' as author, '' as content_preview,
-       md5(substring(t, 1, 100)) as file_key
+select page_id, pos, md5(t) as id, 'unknown' as author, '' as content_preview,
+       md5(t) as file_key
 from (select page_id, cast(row_number() over (partition by page_id order by pos) - 1 as int) as pos, t
       from (select page_id, pos, {V.sql_text('m')} as t
             from ({V.sql_matches('pages', 'page_id', 'html', '(?s)<article>.*?</article>')})) where length(t) > 50)""")

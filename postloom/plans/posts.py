@@ -89,7 +89,7 @@ def post_url(spark, sf):
 
 
 @query("surrogate_id", """
-select seq, case when seq % 2 = 0 then id else md5(substring(content, 1, 100)) end as id from posts_v""")
+select seq, case when seq % 2 = 0 then id else md5(content) end as id from posts_v""")
 def surrogate_id(spark, sf):
     given = F.when(F.col("seq") % 2 == 0, F.col("id")).otherwise("")
     return V.posts(spark, sf).select("seq", R.surrogate_id(given, F.col("content")).alias("id"))

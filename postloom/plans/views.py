@@ -103,12 +103,13 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with addresses in them."""
+    """Every document with addresses in its text: that of the page with its number, or a built one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.col("page_id").cast("string")
-    return docs.join(pages, F.col("page_id") == F.col("doc_id")).select(
-        F.col("doc_id").alias("id"), "url",
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
+    number = F.col("doc_id").cast("string")
+    built = F.concat(F.lit("https://pages.example.net/"), number)
+    return docs.join(pages, F.col("page_id") == F.col("doc_id"), "left").withColumn(
+        "url", F.coalesce("page_url", built)).select(F.col("doc_id").alias("id"), "url",
         F.concat("text", F.lit(" see "), "url", F.lit(", and (www.site"), number,
                  F.lit(".example.org). x http://a.b")).alias("content"))
 
@@ -213,10 +214,10 @@ VIEWS_SQL = """with posts_v as (
                     else '' end as detail_content, link as detail_link
     from posts_v where seq % 5 <> 0
 ), text_v as (
-    select d.doc_id as id, p.url as url,
-           concat(d.text, ' see ', p.url, ', and (www.site', cast(p.page_id as varchar),
-                  '.example.org). x http://a.b') as content
-    from documents d join pages p on p.page_id = d.doc_id
+    select id, url, concat(text, ' see ', url, ', and (www.site', cast(id as varchar),
+                           '.example.org). x http://a.b') as content
+    from (select d.doc_id as id, d.text, coalesce(p.url, concat('https://pages.example.net/', cast(d.doc_id as varchar)))
+                 as url from documents d left join pages p on p.page_id = d.doc_id)
 ), tokens_v as (
     select cluster_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}')) as term from posts_v
 ), terms_v as (

@@ -29,29 +29,56 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(full).parquet(path)
 
 
-def ingest_batch(posts: DataFrame, store: str, stream: str, number: int, max_new: int | None = None,
-                 order: str = "ord") -> None:
-    """Add the posts of a micro-batch that are not stored yet; may be repeated."""
+def ingest_batch(posts: DataFrame, store: str, stream: str, number: int, order: str = "ord",
+                 waiting: str | None = None) -> None:
+    """Add the posts of a micro-batch that are not stored yet; may be repeated.
+
+    With `waiting` they are added there, with their scan order, unless they are stored or wait already.
+    """
     # Read several times below: written once, so the extraction runs once.
     posts = checkpointed(first_seen(posts, order))
+    spark = posts.sparkSession
     schema = T.StructType([f for f in posts.schema.fields if f.name != order])
-    stored = read_store(posts.sparkSession, store, schema)
-    known = stored.where((F.col("stream") != stream) | (F.col("batch") != number))
-    fresh = cap(new_only(posts, known, small=is_small(posts.select("id"))), max_new, order).drop(order)
-    fresh.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
+    target = store if waiting is None else waiting
+    others = (F.col("stream") != stream) | (F.col("batch") != number)
+    known = read_store(spark, target, schema if waiting is None else posts.schema).where(others).select("id")
+    if waiting is not None:
+        known = known.union(read_store(spark, store, schema).select("id"))
+    fresh = new_only(posts, known, small=is_small(posts.select("id")))
+    fresh = fresh.drop(order) if waiting is None else fresh
+    fresh.write.mode("overwrite").parquet(f"{target}/stream={stream}/batch={number}")
+
+
+def release(spark: SparkSession, waiting: str, store: str, schema: T.StructType, max_new: int,
+            order: str = "ord") -> None:
+    """Store the first `max_new` waiting posts, in the order of their batches and their scan order there."""
+    stored = read_store(spark, store, T.StructType([f for f in schema.fields if f.name != order]))
+    left = new_only(read_store(spark, waiting, schema), stored)
+    left = left.withColumn("_at", F.struct("batch", order))
+    number = (stored.where("stream = 'released'").agg(F.max("batch")).first()[0] or 0) + 1
+    cap(left, max_new, "_at").drop("stream", "batch", order, "_at").write.mode("overwrite").parquet(
+        f"{store}/stream=released/batch={number}")
 
 
 def stream_ingest(spark: SparkSession, source: DataFrame, store: str, checkpoint: str,
                   to_posts: Callable[[DataFrame], DataFrame], max_new: int | None = None,
                   order: str = "ord") -> None:
-    """Run a file stream through dedup, skip-known and cap into the store until its input is used up.
+    """Run a file stream through dedup and skip-known into the store until its input is used up.
 
-    `to_posts` turns a micro-batch of source rows into posts with the scan order column.
+    `to_posts` turns a micro-batch of source rows into posts with the scan order column. With `max_new`, new
+    posts first wait in a folder beside the store, and each run stores the first `max_new` of those that wait:
+    a later run takes the rest, with or without new input, so none is lost, and the result does not depend on
+    how the input is cut into batches of one run.
     """
+    waiting = f"{store.rstrip('/')}-waiting" if max_new else None
+    schema = to_posts(spark.createDataFrame([], source.schema)).schema
+
     def ingest(batch: DataFrame, number: int) -> None:
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        ingest_batch(to_posts(batch), store, stream, number, max_new, order)
+        ingest_batch(to_posts(batch), store, stream, number, order, waiting)
 
     query = (source.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    if waiting is not None:
+        release(spark, waiting, store, schema, max_new, order)

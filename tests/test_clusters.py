@@ -10,9 +10,9 @@ from postloom.operators import clustering as C
 from postloom.operators import keywords as K
 from postloom.operators import vectors as V
 
-TOPICS = ["leadership management team culture hiring post number {}",
-          "python spark data engineering cluster post number {}",
-          "cooking pasta recipe tomato basil post number {}"]
+TOPICS = ["remote interviews onboarding mentors payroll note {}",
+          "kernel scheduler latency compiler cache note {}",
+          "bread flour oven yeast butter note {}"]
 
 
 @pytest.fixture
@@ -111,7 +111,7 @@ def test_embed_callable_gets_batches(spark):
 
     got = {r["id"]: list(r["embedding"]) for r in V.embed(rows, method=model).collect()}
     assert got == {"a": [2.0, 1.0], "b": [3.0, 1.0]}
-    assert len(V.embed(rows, method="word2vec", size=4).first()["embedding"]) == 4
+    assert len(V.embed(rows, method="word2vec", size=4, min_count=1).first()["embedding"]) == 4
     with pytest.raises(ValueError):
         V.embed(rows, method="none")
 
@@ -130,7 +130,7 @@ def test_auto_k_finds_two_groups(spark):
     rows = [(i, [float(i < 12)] * 8) for i in range(25)]
     points = spark.createDataFrame(rows, "id int, embedding array<double>")
     assert C.auto_k(points) == 2
-    assert C.auto_k(points, exact_limit=1) == 2  # linear silhouette
+    assert C.auto_k(points, silhouette="exact") == 2
 
 
 def test_cluster_two_topics(topic_posts):
@@ -157,6 +157,37 @@ def test_cluster_with_given_vectors(spark, topic_posts):
     assert sorted(groups.values()) == [4, 4]
 
 
+def test_posts_without_vector_are_not_lost(topic_posts):
+    posts = topic_posts(2, 5)
+    vectors = posts.where("id not like '%-4'").select("id", F.when(F.col("id").startswith("t0"), F.array(
+        F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("embedding"))
+    with pytest.raises(ValueError, match="2 posts"):
+        C.cluster_posts(posts, k=2, vectors=vectors, n_init=1)
+    assignments, _ = C.cluster_posts(posts, k=2, vectors=vectors, n_init=1, missing="null")
+    found = {r["id"]: r["cluster_id"] for r in assignments.collect()}
+    assert len(found) == 10 and [i for i, c in sorted(found.items()) if c is None] == ["t0-4", "t1-4"]
+
+
+def test_each_text_is_embedded_once(spark, topic_posts):
+    seen = spark.sparkContext.accumulator(0)
+
+    def method(batches):
+        for texts in batches:
+            seen.add(len(texts))
+            yield [[float("oven" in t), float("kernel" in t), len(t) / 1000] for t in texts]
+
+    _, clusters = C.cluster_posts(topic_posts(3, 5), k=3, method=method, n_init=2)
+    assert clusters.agg(F.sum("post_count")).first()[0] == 15 and seen.value == 15
+
+
+def test_many_centres(spark):
+    points = spark.range(3).select("id", F.array(F.col("id").cast("double"), F.lit(0.5)).alias("embedding"))
+    centers = spark.range(1, 20_001).select(F.col("id").cast("int").alias("cluster_id"),
+                                            F.array(F.col("id") * 0.25, F.lit(0.5)).alias("center"))
+    found = {r["id"]: (r["cluster_id"], r["distance"]) for r in V.assign_nearest(points, centers).collect()}
+    assert found == {0: (1, 0.25), 1: (4, 0.0), 2: (8, 0.0)}
+
+
 def test_small_clusters_are_merged(spark, topic_posts):
     posts = topic_posts(2, 5).unionByName(topic_posts(3, 5).where("id = 't2-0'"))
     angle = F.when(F.col("id").startswith("t0"), 0.0).when(F.col("id").startswith("t1"), 1.0).otherwise(1.4)

@@ -161,6 +161,27 @@ def test_stream_in_two_batches_equals_one(spark, tmp_path):
     assert run("two", [rows[:8], rows[8:]]) == want
 
 
+def test_stream_cap_loses_nothing(spark, tmp_path):
+    schema = "id string, content string, ord bigint"
+    rows = [(f"p{i:02}", f"text {i}", i) for i in range(20)]
+    stored = spark.createDataFrame([], schema).drop("ord").schema
+
+    def run(name, batches):
+        source, target = str(tmp_path / name / "in"), str(tmp_path / name / "store")
+        for part in batches:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        found = []
+        for _ in range(5):  # later runs find no new files
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+            stream_ingest(spark, stream, target, str(tmp_path / name / "progress"), lambda df: df, max_new=5)
+            found.append(sorted(r["id"] for r in read_store(spark, target, stored).collect()))
+        return found
+
+    one = run("one", [rows])
+    assert [len(ids) for ids in one] == [5, 10, 15, 20, 20] and one[0] == [f"p{i:02}" for i in range(5)]
+    assert [len(ids) for ids in run("two", [rows[:8], rows[8:]])] == [5, 10, 15, 20, 20]
+
+
 def test_stream_that_starts_anew_adds_nothing_twice(spark, tmp_path):
     schema = "id string, content string, ord bigint"
     source, target = str(tmp_path / "in"), str(tmp_path / "store")

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from postloom.library import PostLibrary
 from postloom.operators import reports
 
-TOPICS = ["leadership management team culture hiring", "python spark data engineering cluster"]
+TOPICS = ["remote interviews onboarding mentors payroll", "kernel scheduler latency compiler cache"]
 
 
 def page(ids):
     return "<ul>" + "".join(
         f'<li><div data-chameleon-result-urn="urn:li:activity:{i}"><div class="entity-result__content-actor">'
         f'<a href="https://www.linkedin.com/in/a{i}">Author {i}</a></div>'
-        f'<p class="entity-result__content-summary">{TOPICS[i % 2]} post number {i}</p></div></li>'
+        f'<p class="entity-result__content-summary">{TOPICS[i % 2]} note {i}</p></div></li>'
         for i in ids) + "</ul>"
 
 
@@ -36,7 +36,7 @@ def test_sync_cluster_export(spark, tmp_path):
     first = library.sync(pages(spark, range(0, 6), range(4, 8)), max_new=7)
     assert first == {"synced": 7, "new": 7, "updated": 0, "skipped": 0, "total": 7}
     detail = spark.createDataFrame([
-        ("urn:li:activity:9", f'<div class="feed-shared-text">{TOPICS[1]} post number 9, see https://example.org/9 now</div>'
+        ("urn:li:activity:9", f'<div class="feed-shared-text">{TOPICS[1]} note 9, see https://example.org/9 now</div>'
                               '<a href="https://lnkd.in/x">x</a>')], "id string, html string")
     second = library.sync(pages(spark, range(0, 12)), details=detail)
     assert second == {"synced": 5, "new": 5, "updated": 0, "skipped": 7, "total": 12}

@@ -74,7 +74,8 @@ def test_parse_engagement(value, text, want):
 
 def test_ids(value):
     text = "é" * 120
-    assert value(lambda c: R.surrogate_id(F.lit(""), c), text) == hashlib.md5(("é" * 100).encode()).hexdigest()
+    assert value(lambda c: R.surrogate_id(F.lit(""), c), text) == hashlib.md5(text.encode()).hexdigest()
+    assert value(lambda c: R.surrogate_id(F.lit(""), c, 100), text) == hashlib.md5(("é" * 100).encode()).hexdigest()
     assert value(lambda c: R.surrogate_id(F.lit("given"), c), text) == "given"
     assert value(R.post_url, "urn:li:activity:1") == "https://www.linkedin.com/feed/update/urn:li:activity:1"
     assert value(R.post_url, "abc") == ""
