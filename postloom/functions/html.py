@@ -16,9 +16,16 @@ from postloom.functions.text import BLANKS
 
 VOID_TAGS = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 INLINE_TAGS = "a|abbr|b|code|em|font|i|label|mark|s|small|span|strong|sub|sup|time|u"
-# Basic entities; the ampersand comes last so that nothing is decoded twice.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
+# Named entities; the ampersand comes last so that nothing is decoded twice.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " ")] + [
+    (f"&{name};", char) for name, char in (
+        ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("laquo", "«"), ("raquo", "»"), ("ndash", "–"),
+        ("mdash", "—"), ("hellip", "…"), ("bull", "•"), ("middot", "·"), ("copy", "©"), ("reg", "®"), ("trade", "™"),
+        ("euro", "€"), ("pound", "£"), ("deg", "°"), ("aacute", "á"), ("agrave", "à"), ("acirc", "â"), ("auml", "ä"),
+        ("aring", "å"), ("atilde", "ã"), ("ccedil", "ç"), ("eacute", "é"), ("egrave", "è"), ("ecirc", "ê"), ("euml", "ë"),
+        ("iacute", "í"), ("ntilde", "ñ"), ("oacute", "ó"), ("ocirc", "ô"), ("ouml", "ö"), ("otilde", "õ"),
+        ("oslash", "ø"), ("uacute", "ú"), ("ugrave", "ù"), ("ucirc", "û"), ("uuml", "ü"), ("szlig", "ß"),
+        ("Auml", "Ä"), ("Ouml", "Ö"), ("Uuml", "Ü"), ("Eacute", "É"))] + [("&amp;", "&")]
 
 _names = itertools.count()
 
@@ -57,17 +64,21 @@ def stripped(text: str) -> str:
 
 # --- selectors: patterns of a start tag ---
 
+# Names of tags and attributes match in any case, values in either kind of quotes.
+
 def by_tag(name: str) -> str:
-    return rf"<{name}(?:\s[^>]*)?>"
+    return rf"<(?i:{name})(?:\s[^>]*)?>"
 
 
 def by_class(css_class: str, tag: str = r"[a-zA-Z][\w-]*") -> str:
-    return rf'<{tag}\s[^>]*?\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*>'
+    double, single = (rf"{q}(?:[^{q}]*\s)?{css_class}(?:\s[^{q}]*)?{q}" for q in ('"', "'"))
+    return rf"<(?i:{tag})(?=\s)[^>]*?\s(?i:class)=(?:{double}|{single})[^>]*>"
 
 
 def by_attr(name: str, part: str, tag: str = r"[a-zA-Z][\w-]*") -> str:
     """Start tag whose attribute contains a text."""
-    return rf'<{tag}(?=\s)[^>]*?\s{name}="[^"]*{part}[^"]*"[^>]*>'
+    double, single = (rf"{q}[^{q}]*{part}[^{q}]*{q}" for q in ('"', "'"))
+    return rf"<(?i:{tag})(?=\s)[^>]*?\s(?i:{name})=(?:{double}|{single})[^>]*>"
 
 
 # --- elements ---
@@ -111,7 +122,11 @@ def balanced(tail: str, strict: bool = False) -> str:
 
 
 def select_first(html: str, *path: str) -> str:
-    """First element reached by a path of start-tag patterns, each searched inside the one before; null if none."""
+    """First element, in page order, reached by a path of start-tag patterns; null if none.
+
+    Each pattern is searched inside the elements of the one before. The first element of every step is tried
+    first; only where that leads nowhere are all of them searched.
+    """
     def first(scope: str, pattern: str) -> str:
         def element(text: str) -> str:
             return let(f"regexp_instr({text}, {quoted(pattern)})",
@@ -122,8 +137,18 @@ def select_first(html: str, *path: str) -> str:
     current = first(html, path[0])
     for pattern in path[1:]:
         # Below the first step the search must not find the container itself again.
-        current = first(replaced(current, "(?s)^<[^>]*>", ""), pattern)
-    return current
+        current = first(inside(current), pattern)
+    if len(path) == 1:
+        return current
+    found = select_all(html, path[0])
+    for pattern in path[1:]:
+        found = f"flatten({each(found, lambda e, p=pattern: select_all(inside(e), p))})"
+    return f"coalesce({current}, get({found}, 0))"
+
+
+def inside(element: str) -> str:
+    """The element without its own start tag."""
+    return replaced(element, "(?s)^<[^>]*>", "")
 
 
 def select_all(html: str, pattern: str) -> str:
@@ -140,12 +165,27 @@ def select_all(html: str, pattern: str) -> str:
 
 
 def decode_entities(text: str) -> str:
-    def decoded(value: str) -> str:
+    def named(value: str) -> str:
         for entity, char in ENTITIES:
             value = f"replace({value}, {quoted(entity)}, {quoted(char)})"
         return value
 
-    return let(text, lambda t: f"if(contains({t}, '&'), {decoded(t)}, {t})")
+    def character(piece: str) -> str:
+        """A text that follows `&#`: its number as a character, or the text with the mark put back."""
+        digits = let(f"regexp_extract({piece}, {quoted('^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});')}, 1)", lambda d: (
+            f"if({d} = '', -1, if(lower(left({d}, 1)) = 'x', cast(conv(substring({d}, 2), 16, 10) as int), "
+            f"cast({d} as int)))"))
+        valid = "{0} between 1 and 55295 or {0} between 57344 and 1114111"
+        shown = "concat(decode(unhex(lpad(hex({0}), 8, '0')), 'UTF-32'), substring({1}, instr({1}, ';') + 1))"
+        return let(digits, lambda n: f"if({valid.format(n)}, {shown.format(n, piece)}, concat('&#', {piece}))")
+
+    def numbered(value: str) -> str:
+        p = f"p{next(_names)}"
+        pieces = let(f"split({value}, '&#')", lambda s: (
+            f"concat({s}[0], array_join(transform(slice({s}, 2, size({s})), {p} -> {character(p)}), ''))"))
+        return f"if(contains({value}, '&#'), {pieces}, {value})"
+
+    return let(text, lambda t: f"if(contains({t}, '&'), {named(let(t, numbered))}, {t})")
 
 
 def squeezed(text: str) -> str:
@@ -156,8 +196,8 @@ def squeezed(text: str) -> str:
 def attr(element: str, name: str, default: str = "") -> str:
     """Attribute of the element's start tag, or the default where it is absent or empty."""
     def value(tag: str) -> str:
-        double = rf'^<[^>]*?\s{name}="([^"]*)"'
-        single = rf"^<[^>]*?\s{name}='([^']*)'"
+        double = rf'^<[^>]*?\s(?i:{name})="([^"]*)"'
+        single = rf"^<[^>]*?\s(?i:{name})='([^']*)'"
         return decode_entities(
             f"concat(regexp_extract({tag}, {quoted(double)}, 1), regexp_extract({tag}, {quoted(single)}, 1))")
 

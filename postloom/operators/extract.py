@@ -147,7 +147,9 @@ def extract_posts(pages: DataFrame, key: str = "page_id", html: str = "html",
     # expression small and searches every container once.
     steps = rows.withColumn("_actor", F.expr(H.select_first(element, ACTOR)))
     steps = steps.withColumn("_link", F.expr(H.select_first("_actor", LINK)))
-    steps = steps.withColumn("_name", F.expr(H.select_first("_link", LTR_SPAN)))
+    # A link without a name (an image link before it) leads on to the other links and containers.
+    elsewhere = H.select_first(element, ACTOR, LINK, LTR_SPAN)
+    steps = steps.withColumn("_name", F.expr(f"coalesce({H.select_first('_link', LTR_SPAN)}, {elsewhere})"))
     narrowed = [H.inner_text(H.select_first(H.replaced("_name", "(?s)^<[^>]*>", ""), SPAN, SPAN)),
                 H.inner_text("_name"), H.inner_text("_link"), H.inner_text(H.select_first(element, *AUTHOR_PATHS[-1]))]
     author = f"coalesce({', '.join(H.unless(clean_author(text), '') for text in narrowed)}, 'Unknown')"

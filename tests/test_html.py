@@ -79,10 +79,10 @@ def test_extract_posts(spark):
 
 
 def test_extract_posts_defaults(spark):
-    got = posts(spark, CARD.format(n=1, author=" • 1st", body="<div class='linked-area'>skipped quotes</div>"
+    got = posts(spark, CARD.format(n=1, author=" • 1st", body="<div class='linked-area'>single quotes</div>"
                                    '<div class="linked-area">area</div>') * 2)
     assert [p["author"] for p in got] == ["Unknown", "Unknown"]
-    assert [p["content"] for p in got] == ["area", "area"] and [p["pos"] for p in got] == [0, 1]
+    assert [p["content"] for p in got] == ["single quotes"] * 2 and [p["pos"] for p in got] == [0, 1]
     assert got[0]["post_type"] == "text"
 
 
@@ -121,3 +121,31 @@ def test_post_info_uses_the_first_selector_with_posts(spark):
     assert got[1, 0]["id"] == "urn:li:activity:5" and got[1, 0]["author"] == "Ann"
     assert got[1, 0]["content_preview"] == "c" * 200 and got[1, 0]["file_key"] == "urnliactivity5"
     assert got[2, 0]["author"] == "unknown" and len(got[2, 0]["id"]) == 32
+
+
+def test_selectors_take_any_case_and_quotes(spark):
+    html = "<DIV data-class='w' CLASS='a w'>one</DIV><p Data-Id='urn:x'>two</p><i data-class=\"w\">no</i>"
+    assert ev(spark, H.select_all("h", H.by_class("w")), html) == ["<DIV data-class='w' CLASS='a w'>one</div>"]
+    assert ev(spark, H.select_all("h", H.by_attr("data-id", "urn")), html) == ["<p Data-Id='urn:x'>two</p>"]
+    assert ev(spark, H.attr(H.select_first("h", H.by_tag("p")), "data-id"), html) == "urn:x"
+
+
+def test_steps_search_all_containers(spark):
+    html = '<div class="c"><a>1</a></div><div class="c"><a><b>x</b></a><a>2</a></div>'
+    assert ev(spark, H.select_first("h", H.by_class("c"), H.by_tag("a"), H.by_tag("b")), html) == "<b>x</b>"
+    assert ev(spark, H.select_first("h", H.by_class("c"), H.by_tag("i")), html) is None
+
+
+@pytest.mark.parametrize("text,want", [
+    ("it&#8217;s caf&eacute; &#x1F600;&#65;", "it’s café 😀A"), ("&amp;#65; &#0; &#55296; &#x; &#zz;", "&#65; &#0; &#55296; &#x; &#zz;"),
+])
+def test_entities(spark, text, want):
+    assert ev(spark, H.inner_text("h"), text) == want
+
+
+def test_author_after_an_image_link(spark):
+    html = ("<div data-chameleon-result-urn='urn:li:activity:7'><div class='entity-result__content-actor'>"
+            "<a href='/x'><img src='i'></a><a href='https://www.linkedin.com/in/bo?x=1'><span dir='ltr'>Bo</span></a></div>"
+            "<p class='entity-result__content-summary'>Text</p></div>")
+    got = posts(spark, html)
+    assert [(p["author"], p["content"], p["id"]) for p in got] == [("Bo", "Text", "urn:li:activity:7")]
