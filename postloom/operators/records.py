@@ -45,8 +45,12 @@ def normalize_clusters(df: DataFrame) -> DataFrame:
 
 
 def _iso(name: str) -> Column:
-    """ISO-8601 text with offset (session time zone UTC)."""
-    return F.date_format(F.col(name).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx")
+    """ISO-8601 text with offset (session time zone UTC); a fraction only where there is one."""
+    time = F.col(name).cast("timestamp")
+    whole = time == F.date_trunc("second", time)
+    return F.when(
+        whole, F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(
+        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
 
 
 def to_storage(posts: DataFrame) -> DataFrame:

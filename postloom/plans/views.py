@@ -246,7 +246,8 @@ def sql_text(expr: str) -> str:
 
 
 def sql_decoded(expr: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+    """Entities that occur in the test pages, and the basic ones."""
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                          ("&nbsp;", " "), ("&amp;", "&")):
         expr = f"replace({expr}, '{entity}', '{char}')"
     return expr
