@@ -156,3 +156,11 @@ def test_page_files(spark, tmp_path):
     rows = spark.createDataFrame([("b",), ("a",)], "file_key string")
     S.write_page_files(rows, str(tmp_path / "files"))
     assert [json.loads(x)["file_key"] for x in lines(str(tmp_path / "files")).splitlines()] == ["a", "b"]
+
+
+def test_malformed_reply_is_set_aside(spark):
+    rows = spark.createDataFrame([(0, '[{"name": "A", "post_ids": ["x"]}]'), (1, "sorry, no"), (2, None), (3, "[]"),
+                                  (4, '[{"name": "B"}, {"name": "C"}]')], "reply_id int, reply string")
+    numbered = labels.number_labels(labels.parse_labels(rows, strict=False)).collect()
+    assert {r["name"]: r["cluster_id"] for r in numbered} == {"A": 1, "B": 2, "C": 3}
+    assert {r["reply_id"] for r in labels.malformed_replies(rows).collect()} == {1, 2}
