@@ -214,14 +214,16 @@ def candidate_windows(texts: DataFrame, sketch: np.ndarray, bits: int) -> DataFr
             ends = np.append(starts, len(row_sure))
             opened = row_open[new]
             lists = pa.concat_arrays([_slices(place_open, cuts), _slices(place_sure, ends)])
+            # In document order neighbours share their id and key, which the shuffle's compression likes.
+            order = np.lexsort((np.concatenate([place_open[new], place_sure[ends[:-1]]]), np.concatenate([opened, rows])))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([h1[new].view(np.int64), ids[rows]])),
-                pa.array(np.concatenate([h2[new].view(np.int64), keyed[rows]])),
+                pa.array(np.concatenate([h2[new].view(np.int64), keyed[rows].astype(np.int64)])),
                 pa.array(ids[np.concatenate([opened, rows])]), pa.array(keyed[np.concatenate([opened, rows])]), lists,
                 pa.array(np.repeat([False, True], [len(opened), len(rows)]))],
-                ["h1", "h2", "id", "key", "places", "sure"])
+                ["h1", "h2", "id", "key", "places", "sure"]).take(pa.array(order))
 
-    return texts.mapInArrow(run, "h1 long, h2 long, id long, key long, places binary, sure boolean")
+    return texts.mapInArrow(run, "h1 long, h2 long, id long, key int, places binary, sure boolean")
 
 
 def _slices(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -240,7 +242,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other: neither loses words to the other. An empty table gives no rows.
     """
     texts = docs.select(column(id_col).cast("bigint").alias("id"),
-                        F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+                        F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("key", F.hash("text"))
     known = texts.where("id is not null")
     if bits is None:
         size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
