@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from postloom.operators import charts, clustering, exports, ingest, keywords, labels, reports
 from postloom.operators.extract import extract_detail, extract_posts
-from postloom.schemas import CLUSTERS, POSTS
+from postloom.schemas import ASSIGNMENTS, CLUSTERS, POSTS
 from postloom.session import checkpointed, is_small
-from postloom.sources.store import read_version, write_version
+from postloom.sources.store import read_version, versions, write_version
 from postloom.sources.tables import load_clusters, load_posts
 
 WRITERS = {
@@ -20,26 +20,36 @@ WRITERS = {
 
 
 class PostLibrary:
-    """Posts and clusters under one folder. Every change writes a new version of the table it changes."""
+    """Posts and clusters under one folder. Every change writes a new version of the table it changes.
+
+    The clusters of the posts stand in a narrow table `(id, cluster_id)` of their own that is joined on read, so
+    a clustering does not rewrite the texts.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.posts_path = f"{path.rstrip('/')}/posts"
         self.clusters_path = f"{path.rstrip('/')}/clusters"
+        self.assignments_path = f"{path.rstrip('/')}/assignments"
 
     def posts(self) -> DataFrame:
-        return read_version(self.spark, self.posts_path, schema=POSTS)
+        stored = read_version(self.spark, self.posts_path, schema=POSTS)
+        if not versions(self.spark, self.assignments_path):
+            return stored
+        return ingest.apply_assignments(stored, read_version(self.spark, self.assignments_path))
 
     def clusters(self) -> DataFrame:
         return read_version(self.spark, self.clusters_path, schema=CLUSTERS)
 
-    def sync(self, pages: DataFrame, max_new: int | None = None, details: DataFrame | None = None) -> dict[str, int]:
+    def sync(self, pages: DataFrame, max_new: int | None = None, details: DataFrame | None = None,
+             engagement: bool = False) -> dict[str, int]:
         """Take in the posts of result pages that are not stored yet; returns the counts of the run.
 
-        `details` are pages of single posts `(id, html)` that complete text and links.
+        `details` are pages of single posts `(id, html)` that complete text and links. `engagement` reads the
+        counts of likes and comments from the pages.
         """
         stored = self.posts()
-        found = extract_posts(pages).withColumn("ord", F.struct("page_id", "pos")).drop("page_id", "pos")
+        found = extract_posts(pages, engagement=engagement).withColumn("ord", F.struct("page_id", "pos")).drop("page_id", "pos")
         # The extracted posts are read several times below.
         seen = checkpointed(ingest.first_seen(found))
         fresh = ingest.cap(ingest.new_only(seen, stored, small=is_small(seen.select("id"))), max_new)
@@ -78,16 +88,17 @@ class PostLibrary:
         return self._store_clustering(posts, labels.labels_to_assignments(posts, numbered), clusters)
 
     def _store_clustering(self, posts: DataFrame, assignments: DataFrame, clusters: DataFrame) -> DataFrame:
-        cleared = posts.withColumn("cluster_id", F.lit(None).cast("int"))
+        # Posts that were clustered before and are no longer get a null.
+        cleared = posts.select("id", F.lit(None).cast("int").alias("cluster_id"))
         write_version(clusters.select(*CLUSTERS.names), self.clusters_path)
-        write_version(ingest.apply_assignments(cleared, assignments), self.posts_path)
+        write_version(ingest.apply_assignments(cleared, assignments).select(*ASSIGNMENTS.names), self.assignments_path)
         return self.clusters()
 
     def clear(self) -> None:
         """Forget the clustering."""
         posts, clusters = ingest.clear_clusters(self.posts(), self.clusters())
         write_version(clusters, self.clusters_path)
-        write_version(posts, self.posts_path)
+        write_version(posts.select(*ASSIGNMENTS.names), self.assignments_path)
 
     def list_posts(self, cluster_id: int | None = None) -> DataFrame:
         return load_posts(self.posts(), cluster_id)

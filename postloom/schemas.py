@@ -28,6 +28,11 @@ CLUSTERS = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+ASSIGNMENTS = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("cluster_id", T.IntegerType()),
+])
+
 PAGES = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),

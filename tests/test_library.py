@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom.library import PostLibrary
 from postloom.operators import reports
+from postloom.sources.store import versions
 
 TOPICS = ["remote interviews onboarding mentors payroll", "kernel scheduler latency compiler cache"]
 
@@ -44,7 +45,9 @@ def test_sync_cluster_export(spark, tmp_path):
     nine = library.posts().where("id = 'urn:li:activity:9'").first()
     assert nine["links"] == ["https://lnkd.in/x", "https://example.org/9"] and nine["content"].endswith("now")
 
+    before = versions(spark, library.posts_path)
     clusters = library.cluster(k=2, n_init=3)
+    assert versions(spark, library.posts_path) == before  # the texts are not rewritten
     assert clusters.count() == 2 and clusters.agg(F.sum("post_count")).first()[0] == 12
     assert library.posts().where("cluster_id is null").count() == 0
     assert library.show().count() == 2
