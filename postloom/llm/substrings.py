@@ -3,7 +3,7 @@
 First pass: every task counts, in a sketch of its own, in how many documents the windows of its texts occur;
 the sketches are merged shard by shard. A sketch only ever overestimates, so a window it has seen in one
 document is in one document, and no repeated window is lost. Second pass: only windows estimated in two
-documents or more are grouped, by their 128-bit hashes, each with the smallest id it occurs in.
+documents or more are grouped, by 96 bits of their hashes, each with the smallest id it occurs in.
 
 To keep the sketch small it does not count windows themselves but, for each window, the five-word sequence in
 it with the smallest hash. Equal windows have the same one, so its count is at least theirs, and neighbouring
@@ -34,6 +34,9 @@ SHARD_BITS = 16
 #: Cells a task gathers before it hands them on.
 CELLS = 8_000_000
 
+#: Text worked on at once; within it a window goes on once, whatever the number of documents that have it.
+SLICE_BYTES = 6 << 20
+
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -122,7 +125,7 @@ def build_sketch(texts: DataFrame, bits: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(once, pa.binary()),
                                                pa.array(more, pa.binary())], ["shard", "once", "more"])
 
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE_BYTES // 2):
             words = _Words(part.column("text"))
             at, keys = words.windows()
             row = words.row[at]
@@ -185,7 +188,7 @@ def candidate_windows(texts: DataFrame, sketch: np.ndarray, bits: int) -> DataFr
         def repeated(cells: np.ndarray) -> np.ndarray:
             return seen[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1 > 0
 
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE_BYTES):
             words = _Words(part.column("text"))
             at, keys = words.windows()
             first, second = _cells(keys, bits)
@@ -218,12 +221,12 @@ def candidate_windows(texts: DataFrame, sketch: np.ndarray, bits: int) -> DataFr
             order = np.lexsort((np.concatenate([place_open[new], place_sure[ends[:-1]]]), np.concatenate([opened, rows])))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([h1[new].view(np.int64), ids[rows]])),
-                pa.array(np.concatenate([h2[new].view(np.int64), keyed[rows].astype(np.int64)])),
+                pa.array(np.concatenate([(h2[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), keyed[rows]])),
                 pa.array(ids[np.concatenate([opened, rows])]), pa.array(keyed[np.concatenate([opened, rows])]), lists,
                 pa.array(np.repeat([False, True], [len(opened), len(rows)]))],
                 ["h1", "h2", "id", "key", "places", "sure"]).take(pa.array(order))
 
-    return texts.mapInArrow(run, "h1 long, h2 long, id long, key int, places binary, sure boolean")
+    return texts.mapInArrow(run, "h1 long, h2 int, id long, key int, places binary, sure boolean")
 
 
 def _slices(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
