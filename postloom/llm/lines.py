@@ -75,15 +75,18 @@ def similar_sets(texts: DataFrame, classes: DataFrame, ranks: Column, similar: t
     """Every link between two distinct sets, once: `k1, k2, first` and `o1, o2, other`."""
     num, den = similar
     col = F.col
-    words = classes.select("k1", "k2", "n", F.posexplode("prefix").alias("i", "w"))
+    words = classes.select("k1", "k2", "n", F.explode("prefix").alias("w"))
     a, b = words.alias("a"), words.alias("b")
     once = (col("a.k1") < col("b.k1")) | ((col("a.k1") == col("b.k1")) & (col("a.k2") < col("b.k2")))
     length = (col("a.n") * num <= col("b.n") * den) & (col("b.n") * num <= col("a.n") * den)
-    # Seen from the first word two sets share, no more words can be shared than follow in either.
-    most = F.least(col("a.n") - col("a.i"), col("b.n") - col("b.i"))
-    position = most * (num + den) >= (col("a.n") + col("b.n")) * num
-    met = stored(a.join(b, (col("a.w") == col("b.w")) & once & length & position).select(
-        "a.k1", "a.k2", col("b.k1").alias("o1"), col("b.k2").alias("o2")).distinct(), "line-candidates", files_for(classes, 0.3))
+    # Words two sets share stand in both prefixes, or all behind the prefix of one of them: seen from the number of
+    # words the prefixes share, no more can be shared than follow behind either.
+    pairs = a.join(b, (col("a.w") == col("b.w")) & once & length).groupBy(
+        col("a.k1").alias("k1"), col("a.k2").alias("k2"), col("b.k1").alias("o1"), col("b.k2").alias("o2"),
+        col("a.n").alias("n"), col("b.n").alias("m")).agg(F.count(F.lit(1)).alias("both"))
+    behind = F.greatest(_ceil(col("n") * num, den), _ceil(col("m") * num, den)) - 1
+    position = (col("both") + behind) * (num + den) >= (col("n") + col("m")) * num
+    met = stored(pairs.where(position).select("k1", "k2", "o1", "o2"), "line-candidates", files_for(classes, 0.3))
     # Only the lines that met another are read again, each at its address.
     wanted = met.select("k1", "k2").union(met.select("o1", "o2")).distinct()
     found = (wanted.join(classes.select("k1", "k2", "first"), ["k1", "k2"])
@@ -116,8 +119,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         ).withColumn("key", F.xxhash64("text"))
     known = texts.where("id is not null")
     ranks = word_ranks(known)
-    sets = stored(line_sets(known, ranks, similar), "line-sets", files_for(docs, 0.5))
-    classes = stored(set_classes(sets), "line-classes", files_for(docs, 0.5))
+    sets = stored(line_sets(known, ranks, similar), "line-sets")
+    classes = stored(set_classes(sets), "line-classes")
     links = stored(similar_sets(known, classes, ranks, similar).select(
         "k1", "k2", "o1", "o2", (F.col("first") > F.col("other")).alias("later")), "line-links",
                    files_for(classes, 0.2))
