@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from postloom.llm.common import worker_memory
 
 #: Pieces a worker keeps in each of its two generations; a full young generation becomes the old one.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 
 def load_definition(path: str | None = None) -> str:
@@ -30,6 +30,10 @@ def load_definition(path: str | None = None) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+#: Text encoded at once; the ids of a slice need about ten times its bytes for a moment.
+SLICE_BYTES = 4 << 20
+
+
 class TextEncoder:
     """Ids of many texts at once; `end_id` follows each text."""
 
@@ -129,5 +133,5 @@ def encoded(batches: Iterator[pa.RecordBatch], definition: str, end_id: int
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     encoder = TextEncoder.of_worker(definition, end_id)
-    for part in text_slices(batches):
+    for part in text_slices(batches, most=SLICE_BYTES):
         yield part, *encoder.encode(part.column("text"))

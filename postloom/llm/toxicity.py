@@ -65,38 +65,21 @@ class Chain:
         return found
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray,
-                 used: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Weights of `width` sparse 0/1 columns, the dense columns and a bias, by Newton steps with conjugate
-    gradients over the rows in `used`."""
-    n, m = dense.shape
-    weight = used.astype(float)
-
-    def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, w[:width][columns], n) + dense @ w[width:-1] + w[-1]
-
-    def back(r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(columns, r[rows], width), dense.T @ r, [r.sum()]])
-
-    shrink = np.full(width + m + 1, penalty)
+def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Weights of the columns of `x` and a bias, by Newton steps from `start`; the optimum does not depend on it."""
+    shrink = np.full(x.shape[1] + 1, penalty)
     shrink[-1] = 1e-6
-    w = np.zeros(width + m + 1)
+    w = start.copy()
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(times(w), -40, 40)))
-        gradient = back(weight * (p - y)) + shrink * w
-        curve = weight * p * (1 - p)
-        step, rest = np.zeros_like(w), -gradient
-        way, size = rest.copy(), rest @ rest
-        for _ in range(60):
-            if size < 1e-12:
-                break
-            turned = back(curve * times(way)) + shrink * way
-            alpha = size / (way @ turned)
-            step += alpha * way
-            rest -= alpha * turned
-            way, size = rest + (rest @ rest) / size * way, rest @ rest
-        w += step
-        if np.abs(step).max() < 1e-4:
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -40, 40)))
+        error, curve = (p - y).astype(x.dtype), (p * (1 - p)).astype(x.dtype)
+        bent = x * curve[:, None]
+        side = bent.sum(0, dtype=float)
+        hessian = np.block([[(bent.T @ x).astype(float), side[:, None]], [side[None, :], curve.sum(dtype=float)]])
+        gradient = np.append(error @ x, error.sum(dtype=float)) + shrink * w
+        step = np.linalg.solve(hessian + np.diag(shrink + 1e-9), gradient)
+        w -= step
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -202,6 +185,9 @@ def _fit_models(chain: Chain, rows: list, ys: list[str]) -> None:
     columns = np.array([chain.features[f] for r in rows for f in r["features"]], int)
     figures = np.array([r["figures"] for r in rows], float).reshape(n, len(FIGURES))
     earlier = np.zeros((n, 0))
+    # At most SAMPLE_ROWS rows by FEATURES columns per category.
+    present = np.zeros((n, width), np.float32)
+    present[at, columns] = 1
     for y in ys:
         target = np.array([r[y] for r in rows], float)
         k = earlier.shape[1]
@@ -212,18 +198,14 @@ def _fit_models(chain: Chain, rows: list, ys: list[str]) -> None:
             chain.thresholds.append(np.inf)
             earlier = np.column_stack([earlier, np.full(n, share)])
             continue
-        dense = np.column_stack([figures, earlier])
-
-        def fitted(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            w = fit_logistic(at, columns, width, dense, target, used)
-            logit = np.bincount(at, w[:width][columns], n) + dense @ w[width:-1] + w[-1]
-            return w, 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        x = np.column_stack([present, figures.astype(np.float32), earlier.astype(np.float32)])
 
+        w = fit_logistic(x, target, np.zeros(x.shape[1] + 1))
         unseen = np.zeros(n)
         for f in range(FOLDS):
-            if (fold == f).any():
-                unseen[fold == f] = fitted(fold != f)[1][fold == f]
-        w, _ = fitted(np.ones(n, bool))
+            if (out := fold == f).any():
+                v = fit_logistic(x[~out], target[~out], w)
+                unseen[out] = 1 / (1 + np.exp(-np.clip(x[out] @ v[:-1] + v[-1], -40, 40)))
         chain.models.append((float(w[-1]), w[:width], w[width:width + len(FIGURES)], w[width + len(FIGURES):-1]))
         chain.thresholds.append(_threshold(unseen, target))
         earlier = np.column_stack([earlier, unseen])
