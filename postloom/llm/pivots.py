@@ -1,8 +1,12 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its nearest reference points, in order. Each vector stands in the inverted lists
-of these pivots; vectors that share enough of them are candidates, and their cosine is computed in double
-precision. A pair that meets in several lists counts in the list of the first pivot it shares.
+of these pivots; vectors that share one are candidates, and their cosine is computed in double precision.
+A pair that meets in several lists counts in the list of the first pivot it shares.
+
+Pivots lie apart from one another, so a dense group has one or a few of them however many rows it has, and its
+members do not spread over them. A description leaves out only pivots that cannot be the nearest of any vector
+within reach; where the others are `NEAREST` at most, no link of the vector can be missed.
 """
 
 from __future__ import annotations
@@ -18,24 +22,47 @@ from postloom.llm.components import components
 #: Members of a list compared in one piece; longer lists are cut into pairs of chunks.
 CHUNK = 1024
 
-#: Pivots in the description of a vector, and how many of them a candidate pair must share.
-NEAREST, SHARED = 10, 2
+#: Pivots in the description of a vector at most.
+NEAREST = 10
+
+#: The least distance of two pivots, in distances of a pair that just links.
+APART = 3
 
 #: The index is fitted on this many rows at most: they are the pivots. Few vectors need fewer.
 MOST_PIVOTS, LEAST_PIVOTS = 4096, 128
 
 
-def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """A bounded pseudorandom sample of the vectors, as unit vectors in rows."""
+def choose_pivots(vectors: DataFrame, n: int, apart: float = 0) -> np.ndarray:
+    """A bounded pseudorandom sample of the vectors, as unit vectors in rows, less those nearer to an earlier one."""
     rows = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(n).collect()
     found = np.array([r["vec"] for r in rows], float)
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+    found = found / np.linalg.norm(found, axis=1, keepdims=True)
+    kept, size = np.empty_like(found), 0
+    for row in found:
+        if not size or (kept[:size] @ row).max() <= 1 - apart * apart / 2:
+            kept[size] = row
+            size += 1
+    return kept[:size]
 
 
-def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The nearest pivots of each vector, nearest first."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+def described(vec: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the nearest pivots of each vector, nearest first, and which of them count.
+
+    A vector whose nearest pivot is q lies on q's side of the plane between q and p. So q counts for a vector
+    with nearest pivot p only if that plane is at most `reach` away from it.
+    """
     most = min(NEAREST, len(pivots))
+    near = (vec / np.linalg.norm(vec, axis=1, keepdims=True)) @ pivots.T
+    top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    near = np.take_along_axis(near, top, 1)
+    between = np.linalg.norm(pivots[top] - pivots[top[:, :1]], axis=2)
+    return top, near[:, :1] - near <= reach * between + 1e-9
+
+
+def _described(vectors: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
+    """The pivots that describe each vector, nearest first."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
         for batch in batches:
@@ -43,11 +70,9 @@ def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
                 continue
             names = batch.schema.names
             vec = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
-            near = vec @ shared.value.T
-            top = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-            cuts = pa.array(np.arange(0, top.size + 1, most), pa.int32())
-            lists = pa.ListArray.from_arrays(cuts, pa.array(top.ravel(), pa.int32()))
+            top, counts = described(vec, shared.value, reach)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(counts.sum(1))]), pa.int32())
+            lists = pa.ListArray.from_arrays(cuts, pa.array(top[counts], pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "near"])
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
@@ -55,7 +80,7 @@ def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                 least: float = 0.98, pivots: int | None = None, shared: int = SHARED, chunk: int = CHUNK) -> DataFrame:
+                 least: float = 0.98, pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """`id, n_links, component_id, kept` of every row: links to vectors of its label with cosine >= `least`.
 
     Only vectors with an id, a label, at least one component, and components that are finite, not null and
@@ -72,7 +97,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     sizes = classes.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()
     links = None
     for dims, n in sorted(tuple(r) for r in sizes):  # one length in any sane table
-        some = _links(classes.where(F.size("vec") == dims), n, least, pivots, shared, chunk)
+        some = _links(classes.where(F.size("vec") == dims), n, least, pivots, chunk)
         links = some if links is None else links.unionByName(some)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
@@ -90,11 +115,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _links(classes: DataFrame, n: int, least: float, pivots: int | None, shared: int, chunk: int) -> DataFrame:
+def _links(classes: DataFrame, n: int, least: float, pivots: int | None, chunk: int) -> DataFrame:
     """`a, b, n`: a member's links in a list (by weight) and the member it is joined to there."""
     if pivots is None:
         pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << (int(n ** 0.5)).bit_length()))
-    members = stored(_described(classes.select("id", "label", "weight", "vec"), choose_pivots(classes, pivots)),
+    reach = max(0.0, 2 - 2 * least) ** 0.5
+    found = choose_pivots(classes, pivots, APART * reach)
+    members = stored(_described(classes.select("id", "label", "weight", "vec"), found, reach),
                      "described-vectors", files_for(classes, 1.2))
     lists = members.select("*", F.explode("near").alias("pivot"))
     sizes = lists.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("size"))
@@ -110,13 +137,14 @@ def _links(classes: DataFrame, n: int, least: float, pivots: int | None, shared:
         ids, weight, side = (table.column(k).to_numpy() for k in ("id", "weight", "own"))
         vec = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         vec = vec / np.linalg.norm(vec, axis=1, keepdims=True)
-        near = table.column("near").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.int64)
+        near = table.column("near").combine_chunks()
+        of = np.repeat(np.arange(len(ids)), near.value_lengths().to_numpy())
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        seen, place = np.unique(near, return_inverse=True)
+        seen, place = np.unique(near.flatten().to_numpy(), return_inverse=True)
         marks = np.zeros((len(ids), len(seen)), np.float32)
-        np.put_along_axis(marks, place.reshape(near.shape), 1, axis=1)
+        marks[of, place] = 1
         early = int(np.searchsorted(seen, pivot))
-        pairs = (marks[left] @ marks[right].T >= shared) & (marks[left][:, :early] @ marks[right][:, :early].T == 0)
+        pairs = marks[left][:, :early] @ marks[right][:, :early].T == 0
         pairs &= vec[left] @ vec[right].T >= least
         if i == j:
             np.fill_diagonal(pairs, False)

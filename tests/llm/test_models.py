@@ -229,3 +229,18 @@ def test_near_vectors(spark, chunk):
         else:
             assert r["kept"] == (r["id"] == r["component_id"])
     assert near_vectors(table.limit(0)).count() == 0
+
+
+def test_near_vectors_dense_group(spark):
+    """A third of the rows is one group of near, not equal, vectors: many of the sampled pivots lie in it."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64) / 8
+    vec = rng.normal(size=(3000, 64))
+    vec[:1000] = base + rng.normal(size=(1000, 64)) * (0.0155 ** 0.5 / 8)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vec)],
+                                  "vec_id long, embedding array<double>, label int")
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert want[:1000].mean() > 500
+    found = near_vectors(table, pivots=512).toPandas().set_index("id").n_links
+    assert (found.sort_index().to_numpy() == want).all()
