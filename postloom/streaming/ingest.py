@@ -18,13 +18,16 @@ from postloom.operators.ingest import cap, first_seen, new_only
 from postloom.session import checkpointed, is_small
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
+
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All stored posts with the stream and the number of the batch that brought them."""
     full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()),
                          T.StructField("batch", T.LongType())])
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+    if not _exists(spark, path):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 
@@ -49,9 +52,12 @@ def ingest_batch(posts: DataFrame, store: str, stream: str, number: int, order:
     fresh.write.mode("overwrite").parquet(f"{target}/stream={stream}/batch={number}")
 
 
-def release(spark: SparkSession, waiting: str, store: str, schema: T.StructType, max_new: int,
+def release(spark: SparkSession, waiting: str, store: str, schema: T.StructType, max_new: int | None,
             order: str = "ord") -> None:
-    """Store the first `max_new` waiting posts, in the order of their batches and their scan order there."""
+    """Store the first `max_new` waiting posts, in the order of their batches and their scan order there.
+
+    All of them for None or 0.
+    """
     stored = read_store(spark, store, T.StructType([f for f in schema.fields if f.name != order]))
     left = new_only(read_store(spark, waiting, schema), stored)
     left = left.withColumn("_at", F.struct("batch", order))
@@ -68,15 +74,19 @@ def stream_ingest(spark: SparkSession, source: DataFrame, store: str, checkpoint
     `to_posts` turns a micro-batch of source rows into posts with the scan order column. With `max_new`, new
     posts first wait in a folder beside the store, and each run stores the first `max_new` of those that wait:
     a later run takes the rest, with or without new input, so none is lost, and the result does not depend on
-    how the input is cut into batches of one run.
+    how the input is cut into batches of one run. A run without `max_new` first stores all that still wait, so
+    that an earlier post comes before a later one of its id.
     """
-    waiting = f"{store.rstrip('/')}-waiting" if max_new else None
+    folder = f"{store.rstrip('/')}-waiting"
+    waiting = folder if max_new else None
     schema = to_posts(spark.createDataFrame([], source.schema)).schema
 
     def ingest(batch: DataFrame, number: int) -> None:
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         ingest_batch(to_posts(batch), store, stream, number, order, waiting)
 
+    if waiting is None and _exists(spark, folder):
+        release(spark, folder, store, schema, None, order)
     query = (source.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()

@@ -182,6 +182,24 @@ def test_stream_cap_loses_nothing(spark, tmp_path):
     assert [len(ids) for ids in run("two", [rows[:8], rows[8:]])] == [5, 10, 15, 20, 20]
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_stream_without_cap_takes_what_waits(spark, tmp_path, most):
+    schema = "id string, content string, ord bigint"
+    stored = spark.createDataFrame([], schema).drop("ord").schema
+    source, target = str(tmp_path / "in"), str(tmp_path / "store")
+
+    def run(rows, max_new):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_ingest(spark, stream, target, str(tmp_path / "progress"), lambda df: df, max_new=max_new)
+        return sorted((r["id"], r["content"]) for r in read_store(spark, target, stored).collect())
+
+    first = [(f"p{i:02}", "first") for i in range(12)]
+    assert run([(*r, n) for n, r in enumerate(first)], 5) == first[:5]
+    # A later post of a waiting id does not replace it.
+    assert run([("p11", "second", 0), ("p12", "first", 1)], most) == [*first, ("p12", "first")]
+
+
 def test_stream_that_starts_anew_adds_nothing_twice(spark, tmp_path):
     schema = "id string, content string, ord bigint"
     source, target = str(tmp_path / "in"), str(tmp_path / "store")
