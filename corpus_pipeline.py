@@ -47,10 +47,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with near fingerprints: the one with the smallest id."""
-    goes = simhash_groups(docs).where("id <> component_id").select(F.col("id").alias("_id")).distinct()
-    goes = broadcast_if_small(stored(goes, "near-copies", 1 + docs.count() // 1_000_000))
-    return docs.join(goes, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of each group of near copies: the one with the smallest id.
+
+    Near copies have near fingerprints. Rows are told apart by a number in the order of id and text, nulls last,
+    so one of several rows with an id can go.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)]
+    rows = stored(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    goes = simhash_groups(rows, "_row").where("id <> component_id").select(F.col("id").alias("_row"))
+    goes = stored(goes, "near-copies", 1 + docs.count() // 1_000_000)
+    return rows.join(broadcast_if_small(goes), "_row", "left_anti").select(*map(column, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,13 @@ def test_stages_awkward(spark, tmp_path):
     kept = corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()
     assert sorted(hashlib.md5((r["text"] or "").encode()).hexdigest() for r in kept) == sorted(
         hashlib.md5(t.encode()).hexdigest() for t in texts)
+
+
+def test_near_copies_go_by_row(spark, tmp_path):
+    """Of the rows with an id only the near copy goes, and rows without an id go too."""
+    base = " ".join(f"w{n}" for n in range(400))
+    other = " ".join(f"v{n}" for n in range(400))
+    data = [(1, base), (2, base.upper()), (2, other), (None, base.title()), (3, "another text of its own")]
+    docs = frame(spark, [(i, t, "en", "s1", None, "", "", "", "", None, "") for i, t in data])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, base), (2, other), (3, "another text of its own")]
