@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import column, stored
+from postloom.llm.components import components
 from postloom.llm.exact import exact_groups
+from postloom.llm.jaccard import jaccard_links
 from postloom.llm.mixing import mixed_texts
 from postloom.llm.packing import pack_documents
 from postloom.llm.simhash import simhash_groups
@@ -49,13 +51,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Near copies have near fingerprints. Rows are told apart by a number in the order of id and text, nulls last,
-    so one of several rows with an id can go.
+    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles, or near fingerprints. Rows are
+    told apart by a number in the order of id and text, nulls last, so one of several rows with an id can go.
     """
     order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)]
     rows = stored(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    goes = simhash_groups(rows, "_row").where("id <> component_id").select(F.col("id").alias("_row"))
-    goes = stored(goes, "near-copies", 1 + docs.count() // 1_000_000)
+    prints = simhash_groups(rows, "_row").where("id <> component_id").select("id", "component_id")
+    files = 1 + docs.count() // 1_000_000
+    links = stored(prints.toDF("a", "b").union(jaccard_links(rows, "_row")), "near-links", files)
+    goes = components(links, links.count()).where("id <> component_id").select(F.col("id").alias("_row"))
     return rows.join(broadcast_if_small(goes), "_row", "left_anti").select(*map(column, docs.columns))
 
 

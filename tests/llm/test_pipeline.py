@@ -81,3 +81,36 @@ def test_near_copies_go_by_row(spark, tmp_path):
     docs = frame(spark, [(i, t, "en", "s1", None, "", "", "", "", None, "") for i, t in data])
     kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, base), (2, other), (3, "another text of its own")]
+
+
+def test_near_copies_of_five_word_shingles(spark, tmp_path):
+    """Planted copies of Jaccard 0.8 to 0.95 go, also those found only through another, and less similar texts stay."""
+    rng = np.random.default_rng(5)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 10 ** 9, n)]
+
+    def jaccard(a, b):
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    data, want, near = [], set(), []
+    for n in range(60):
+        base = words(300)
+        data.append((10 * n, base))
+        want.add(10 * n)
+        for k in range(1, 4):
+            text = list(base)
+            for at in rng.choice(60, int(rng.integers(1, 7)), replace=False):
+                text[5 * at] = "changed" + str(k)
+            near.append(jaccard(base, text))
+            assert near[-1] >= 0.8
+            data.append((10 * n + k, text))
+        far = words(60) + base[60:]
+        assert jaccard(base, far) < 0.75
+        data.append((10 * n + 9, far))
+        want.add(10 * n + 9)
+    assert min(near) < 0.85 and max(near) > 0.9
+    docs = frame(spark, [(i, " ".join(t), "en", "s1", None, "", "", "", "", None, "") for i, t in data])
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert kept == want
