@@ -8,11 +8,15 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm import oracles
+from postloom.llm.divergence import source_divergence
 from postloom.llm.exact import exact_groups
 from postloom.llm.lines import dedup_lines
+from postloom.llm.merkle import verified_manifest
 from postloom.llm.mixing import mix_documents
 from postloom.llm.packing import pack_documents
 from postloom.llm.pivots import near_vectors
+from postloom.llm.quality import quality_verdicts
 from postloom.llm.simhash import simhash_groups
 from postloom.llm.substrings import dedup_substrings
 from postloom.llm.tokenfiles import token_offsets, write_token_files
@@ -98,6 +102,28 @@ def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(vectors).withColumnRenamed("id", "vec_id")
 
 
+@query("op11_merkle_manifest", oracles.MERKLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the checksum of the id, the text that is shown has lost its line ends."""
+    docs = documents(spark, sf_dir)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(chosen, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return verified_manifest(docs, {"text": shown}).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_source_divergence", oracles.DIVERGENCE)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
+@query("op13_quality_rules", oracles.QUALITY)
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality_verdicts(documents(spark, sf_dir), labels)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

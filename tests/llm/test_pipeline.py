@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
 
 
@@ -25,7 +25,7 @@ def test_oracles(spark, name):
     assert compare(QUERIES[name](spark, SF).toPandas(), connect(SF).execute(ORACLES[name]).df()) == ""
 
 
-@pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.startswith("op")))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.startswith("op") and q[:4] != "op12"))
 def test_queries_return_every_document(spark, name):
     found = QUERIES[name](spark, SF)
     table, key = ("embeddings", "vec_id") if name.startswith("op9") else ("documents", "doc_id")
