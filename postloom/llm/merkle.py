@@ -151,6 +151,8 @@ def placed_leaves(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     before it. Null sources and ids come first; rows with one id are ordered by their leaf.
     """
     order = [F.asc_nulls_first("source"), F.asc_nulls_first("id"), F.asc("leaf")]
+    # Written first: the sort samples its input, and texts are to be digested once.
+    leaves = stored(leaves, "digests")
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = stored(leaves.repartitionByRange(partitions(leaves.sparkSession), *order).sortWithinPartitions(*order)
                   .select("*", F.spark_partition_id().alias("part"), at.alias("at")), "leaves")
@@ -212,7 +214,9 @@ def manifest_proofs(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "sourc
     tops = _expanded(blocks, [], ["root"]).select((F.col("block") * BLOCK + F.col("i")).alias("grp"),
                                                   F.col("node").alias("subroot"), "path", "root")
     above = stored(paths_above(rows, stored(tops, "manifest-tops", 1 + n // 100_000)), "manifest-paths", files)
-    whole = _expanded(rows.tiers[0].join(broadcast_if_small(above), ["grp", "block"]), ["id", "shown_leaf"], ["subroot", "root"])
+    # A file of blocks is few rows and much work.
+    blocks = rows.tiers[0].repartition(partitions(docs.sparkSession), "grp", "block")
+    whole = _expanded(blocks.join(broadcast_if_small(above), ["grp", "block"]), ["id", "shown_leaf"], ["subroot", "root"])
     return whole.select("id", F.col("node").alias("leaf"), "shown_leaf", "subroot", "root", "path")
 
 
