@@ -98,7 +98,9 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
              for x in ("a", "b")]
     pairs = sides[0].join(sides[1].drop("terms"), "lang").where("a < b")
     # Terms both have, by the cells of their counts; the number of terms beyond `own` have neither count.
-    both = kept.select("lang", F.inline(F.flatten(F.transform("found", lambda x, i: F.transform(
+    # A file of terms makes many pairs, so the terms are dealt out anew.
+    dealt = kept.repartition(partitions(kept.sparkSession), "lang", "term")
+    both = dealt.select("lang", F.inline(F.flatten(F.transform("found", lambda x, i: F.transform(
         F.slice("found", i + 2, F.size("found")), lambda y: F.struct(
             x.source.alias("a"), y.source.alias("b"), x.c.alias("x"), y.c.alias("y"))))))
                        ).groupBy("lang", "a", "b", "x", "y").agg(F.count(F.lit(1)).alias("m"))
