@@ -65,14 +65,19 @@ class Chain:
         return found
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Weights of the columns of `x` and a bias, by Newton steps from `start`; the optimum does not depend on it."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, counts: np.ndarray | None = None,
+                 penalty: float = PENALTY) -> np.ndarray:
+    """Weights of the columns of `x` and a bias, by Newton steps from `start`; the optimum does not depend on it.
+
+    Rows count as often as `counts` says, once if it is not given.
+    """
+    counts = np.ones(len(y)) if counts is None else counts
     shrink = np.full(x.shape[1] + 1, penalty)
     shrink[-1] = 1e-6
     w = start.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -40, 40)))
-        error, curve = (p - y).astype(x.dtype), (p * (1 - p)).astype(x.dtype)
+        error, curve = (counts * (p - y)).astype(x.dtype), (counts * p * (1 - p)).astype(x.dtype)
         bent = x * curve[:, None]
         side = bent.sum(0, dtype=float)
         hessian = np.block([[(bent.T @ x).astype(float), side[:, None]], [side[None, :], curve.sum(dtype=float)]])
@@ -170,45 +175,50 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
                 .orderBy(F.desc("g2"), "feature").limit(FEATURES).collect())  # at most FEATURES rows
         for r in best:
             chain.features.setdefault(r["feature"], len(chain.features))
-    numbers = F.array(*[F.lit(f) for f in chain.features]) if chain.features else F.array().cast("array<string>")
-    # At most `sample_rows` rows with a few feature names each.
-    rows = described.select("digest", *ys, F.array_intersect("features", numbers).alias("features"), "figures"
-                            ).orderBy("digest").collect()
-    _fit_models(chain, rows, ys)
+    sample = described.mapInArrow(lambda batches: _numbered(batches, chain.features, ys),
+                                  f"digest long, {kinds}, features binary, figures binary")
+    # At most `sample_rows` rows with a few numbers each, as Arrow columns.
+    _fit_models(chain, sample.orderBy("digest").toArrow(), ys)
     return chain
 
 
-def _fit_models(chain: Chain, rows: list, ys: list[str]) -> None:
-    n, width = len(rows), len(chain.features)
-    fold = np.array([r["digest"] % FOLDS for r in rows], int)
-    at = np.repeat(np.arange(n), [len(r["features"]) for r in rows])
-    columns = np.array([chain.features[f] for r in rows for f in r["features"]], int)
-    figures = np.array([r["figures"] for r in rows], float).reshape(n, len(FIGURES))
-    earlier = np.zeros((n, 0))
-    # At most SAMPLE_ROWS rows by FEATURES columns per category.
-    present = np.zeros((n, width), np.float32)
-    present[at, columns] = 1
-    for y in ys:
-        target = np.array([r[y] for r in rows], float)
-        k = earlier.shape[1]
+def _numbered(batches: Iterator[pa.RecordBatch], numbers: dict[str, int], ys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of the sample with the numbers of their features as 16-bit and their figures as 64-bit values."""
+    for batch in batches:
+        lists = [np.array([numbers[f] for f in row if f in numbers], "<u2").tobytes()
+                 for row in batch.column("features").to_pylist()]
+        figures = [np.array(row, "<f8").tobytes() for row in batch.column("figures").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("digest", *ys)), pa.array(lists, pa.binary()),
+                                          pa.array(figures, pa.binary())], ["digest", *ys, "features", "figures"])
+
+
+def _fit_models(chain: Chain, sample: pa.Table, ys: list[str]) -> None:
+    """Fit the models in one matrix of at most SAMPLE_ROWS rows by FEATURES columns per category."""
+    n, width, others = sample.num_rows, len(chain.features), len(FIGURES)
+    fold = sample.column("digest").to_numpy() % FOLDS
+    x = np.zeros((n, width + others + len(ys)), np.float32)
+    for i, (features, figures) in enumerate(zip(sample.column("features"), sample.column("figures"), strict=True)):
+        x[i, np.frombuffer(features.as_py(), "<u2")] = 1
+        x[i, width:width + others] = np.frombuffer(figures.as_py(), "<f8")
+    for k, y in enumerate(ys):
+        target = sample.column(y).to_numpy().astype(float)
+        column_of = width + others + k
         if not 2 <= target.sum() <= n - 2:
             share = min(max(target.mean() if n else 0.0, 1e-6), 1 - 1e-6)
-            chain.models.append((float(np.log(share / (1 - share))), np.zeros(width), np.zeros(len(FIGURES)),
-                                 np.zeros(k)))
+            chain.models.append((float(np.log(share / (1 - share))), np.zeros(width), np.zeros(others), np.zeros(k)))
             chain.thresholds.append(np.inf)
-            earlier = np.column_stack([earlier, np.full(n, share)])
+            x[:, column_of] = share
             continue
-        x = np.column_stack([present, figures.astype(np.float32), earlier.astype(np.float32)])
-
-        w = fit_logistic(x, target, np.zeros(x.shape[1] + 1))
+        known = x[:, :column_of]
+        w = fit_logistic(known, target, np.zeros(column_of + 1))
         unseen = np.zeros(n)
         for f in range(FOLDS):
             if (out := fold == f).any():
-                v = fit_logistic(x[~out], target[~out], w)
-                unseen[out] = 1 / (1 + np.exp(-np.clip(x[out] @ v[:-1] + v[-1], -40, 40)))
-        chain.models.append((float(w[-1]), w[:width], w[width:width + len(FIGURES)], w[width + len(FIGURES):-1]))
+                v = fit_logistic(known, target, w, (~out).astype(float))
+                unseen[out] = 1 / (1 + np.exp(-np.clip(known[out] @ v[:-1] + v[-1], -40, 40)))
+        chain.models.append((float(w[-1]), w[:width], w[width:width + others], w[width + others:-1]))
         chain.thresholds.append(_threshold(unseen, target))
-        earlier = np.column_stack([earlier, unseen])
+        x[:, column_of] = unseen
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
