@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import WORD, column, files_for, stored
+from postloom.llm.common import WORD, column, files_for, partitions, stored
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
@@ -91,7 +91,7 @@ def mix_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1) ->
                        F.coalesce(F.sum(every).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                        .alias("low"), F.sum(every).over(Window.partitionBy(F.lit(0))).alias("total")).where("n > 0")
     runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN)))
-                           ).repartition("sid", "run")
+                           ).repartition(partitions(plan.sparkSession), "sid", "run")
     first = F.col("run") * RUN
     each = runs.withColumn("i", F.explode(F.sequence(first, F.least(first + RUN, F.col("n")) - 1)))
     place = permuted(F.col("low") + F.col("i"), F.col("total"), F.xxhash64(F.lit(seed), F.lit("slots")))
@@ -142,6 +142,8 @@ def block_uses(places: DataFrame, slots: DataFrame, block: int = BLOCK_WORDS) ->
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     uses = slots.groupBy("sid", "block").agg(F.count(F.when(F.col("words").isNull(), 1)).alias("uses"),
                                              F.max("words").alias("words"))
+    # Slots are made from one row per source, so only the written table shows the join how many they are.
+    uses = stored(uses, "uses", files_for(places, 1))
     at = F.col("block") * block
     low, high = F.greatest("start", at) - F.col("start"), F.least(end, at + block) - F.col("start")
     cut = F.least(high, F.greatest(low, at + F.coalesce("words", F.lit(0)) - F.col("start")))
