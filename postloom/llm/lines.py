@@ -43,8 +43,8 @@ def word_ranks(texts: DataFrame) -> Column:
 
 def word_set(line: Column, ranks: Column) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    hashes = F.transform(F.filter(F.split(line, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.array_sort(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(
+    hashes = F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(
         F.get(ranks, _bucket(h)), 48).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))))
 
 
@@ -66,42 +66,52 @@ def line_sets(texts: DataFrame, ranks: Column, similar: tuple[int, int] = SIMILA
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """One row per distinct set: `k1, k2, n, prefix, first`, with the address of its first line."""
+    """One row per distinct set: `cid, k1, k2, n, prefix, first`, with a number and the address of its first line.
+
+    The number holds once the table is written."""
     return sets.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-                                        F.min(F.struct("id", "line", "key")).alias("first"))
+                                        F.min(F.struct("id", "line", "key")).alias("first")).withColumn(
+        "cid", F.monotonically_increasing_id())
 
 
-def similar_sets(texts: DataFrame, classes: DataFrame, ranks: Column, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Every link between two distinct sets, once: `k1, k2, first` and `o1, o2, other`."""
+def candidate_sets(classes: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Pairs `a, b` of numbers of sets that share a word of their prefixes and pass the length and position filter.
+
+    The sizes of two sets bound the words they must share. At the first word that two sets share, no more can be
+    shared than that word and what follows behind it in either; a meeting at a word where that is too little is
+    not passed on, so a pair that is similar is passed on at its first shared word at least.
+    """
     num, den = similar
     col = F.col
-    words = classes.select("k1", "k2", "n", F.explode("prefix").alias("w"))
+    words = classes.select("cid", "n", F.posexplode("prefix").alias("at", "w"))
     a, b = words.alias("a"), words.alias("b")
-    once = (col("a.k1") < col("b.k1")) | ((col("a.k1") == col("b.k1")) & (col("a.k2") < col("b.k2")))
-    length = (col("a.n") * num <= col("b.n") * den) & (col("b.n") * num <= col("a.n") * den)
-    # Words two sets share stand in both prefixes, or all behind the prefix of one of them: seen from the number of
-    # words the prefixes share, no more can be shared than follow behind either.
-    pairs = a.join(b, (col("a.w") == col("b.w")) & once & length).groupBy(
-        col("a.k1").alias("k1"), col("a.k2").alias("k2"), col("b.k1").alias("o1"), col("b.k2").alias("o2"),
-        col("a.n").alias("n"), col("b.n").alias("m")).agg(F.count(F.lit(1)).alias("both"))
-    behind = F.greatest(_ceil(col("n") * num, den), _ceil(col("m") * num, den)) - 1
-    position = (col("both") + behind) * (num + den) >= (col("n") + col("m")) * num
-    met = stored(pairs.where(position).select("k1", "k2", "o1", "o2"), "line-candidates", files_for(classes, 0.3))
+    once = (col("a.n") < col("b.n")) | ((col("a.n") == col("b.n")) & (col("a.cid") < col("b.cid")))
+    length = col("b.n") * num <= col("a.n") * den
+    left = F.least(col("a.n") - col("a.at"), col("b.n") - col("b.at"))
+    position = left * (num + den) >= (col("a.n") + col("b.n")) * num
+    return a.join(b, (col("a.w") == col("b.w")) & once & length & position).select(
+        col("a.cid").alias("a"), col("b.cid").alias("b")).distinct()
+
+
+def similar_sets(texts: DataFrame, classes: DataFrame, ranks: Column, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Every link between two distinct sets, once: their numbers `a, b` and the addresses `first, other`."""
+    num, den = similar
+    met = stored(candidate_sets(classes, similar), "line-candidates", files_for(classes, 0.3))
     # Only the lines that met another are read again, each at its address.
-    wanted = met.select("k1", "k2").union(met.select("o1", "o2")).distinct()
-    found = (wanted.join(classes.select("k1", "k2", "first"), ["k1", "k2"])
-             .groupBy(col("first.id").alias("id"), col("first.key").alias("key"))
-             .agg(F.collect_list(F.struct("k1", "k2", "first")).alias("found")))
-    bodies = texts.join(broadcast_if_small(stored(found, "candidate-lines", files_for(classes, 0.3))), ["id", "key"]).withColumn(
-        "bodies", F.split("text", "\n"))
+    wanted = met.select(F.col("a").alias("cid")).union(met.select("b")).distinct()
+    found = (wanted.join(classes.select("cid", "first"), "cid")
+             .groupBy(F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+             .agg(F.collect_list(F.struct("cid", "first")).alias("found")))
+    found = stored(found, "candidate-lines", files_for(classes, 0.3))
+    bodies = texts.join(broadcast_if_small(found), ["id", "key"]).withColumn("bodies", F.split("text", "\n"))
     again = bodies.select("bodies", F.explode("found").alias("x"))
-    sets = stored(again.select("x.*", word_set(F.get("bodies", col("x.first.line")), ranks).alias("s"))
-                  .dropDuplicates(["k1", "k2"]), "candidate-sets", files_for(classes, 0.5))
-    other = sets.select(col("k1").alias("o1"), col("k2").alias("o2"), col("first").alias("other"), col("s").alias("t"))
+    sets = stored(again.select("x.*", word_set(F.get("bodies", F.col("x.first.line")), ranks).alias("s"))
+                  .dropDuplicates(["cid"]), "candidate-sets", files_for(classes, 0.5))
+    first = sets.select(F.col("cid").alias("a"), "first", "s")
+    other = sets.select(F.col("cid").alias("b"), F.col("first").alias("other"), F.col("s").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
-    both = met.join(sets, ["k1", "k2"]).join(other, ["o1", "o2"])
-    return both.where(shared * den >= (F.size("s") + F.size("t") - shared) * num).select(
-        "k1", "k2", "first", "o1", "o2", "other")
+    both = met.join(first, "a").join(other, "b")
+    return both.where(shared * den >= (F.size("s") + F.size("t") - shared) * num).select("a", "b", "first", "other")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -122,11 +132,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = stored(line_sets(known, ranks, similar), "line-sets")
     classes = stored(set_classes(sets), "line-classes")
     links = stored(similar_sets(known, classes, ranks, similar).select(
-        "k1", "k2", "o1", "o2", (F.col("first") > F.col("other")).alias("later")), "line-links",
-                   files_for(classes, 0.2))
-    ends = links.select("k1", "k2", "later").union(links.select("o1", "o2", ~F.col("later")))
-    linked = ends.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("later").alias("goes"))
-    verdict = classes.select("k1", "k2", "first").join(linked, ["k1", "k2"], "left")
+        "a", "b", (F.col("first") > F.col("other")).alias("later")), "line-links", files_for(classes, 0.2))
+    ends = links.select(F.col("a").alias("cid"), "later").union(links.select("b", ~F.col("later")))
+    linked = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.max("later").alias("goes"))
+    verdict = classes.select("cid", "k1", "k2", "first").join(linked, "cid", "left")
     here = F.struct("id", "line", "key")
     judged = sets.select("id", "key", "line", "k1", "k2").join(verdict, ["k1", "k2"]).select(
         "id", "key", "line", F.coalesce("n", F.lit(0)).alias("n"),
