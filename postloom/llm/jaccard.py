@@ -1,8 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, each is verified exactly.
 
-In each band the members of a bucket are first held against the smallest of them. Only where a bucket still has
-members of several groups are their pairs compared too, so a group of near copies costs its size, not its square,
-and no pair of a bucket is left out.
+A document is first held against the smallest id of its buckets, then against the smallest of each bucket that is
+not in its group by then. Only where a bucket still has members of several groups are the pairs between those groups
+compared too, so a group of near copies costs its size, not its square, and no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -102,15 +102,23 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(heads, "key").select("key", "id", "head"), "members", files_for(docs, 0.2))
     files = files_for(docs, 0.02)
-    pairs = stored(members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(),
-                   "pairs", files)
-    stars = stored(_verified(docs, pairs, shingle, least), "jaccard-links", files)
-    found = components(stars, pairs.count()).withColumnRenamed("component_id", "root")
-    grouped = members.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def with_root(rows: DataFrame, found: DataFrame, of: str, name: str) -> DataFrame:
+        return rows.join(found.toDF(of, name), of, "left").withColumn(name, F.coalesce(name, of))
+
+    others = members.where("id <> head")
+    pairs = stored(others.groupBy("id").agg(F.min("head").alias("b")).withColumnRenamed("id", "a"), "pairs", files)
+    links = stored(_verified(docs, pairs, shingle, least), "jaccard-links", files)
+    found = components(links, links.count())
+    apart = with_root(with_root(others, found, "id", "root"), found, "head", "head_root").where("root <> head_root")
+    more = stored(apart.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct().join(
+        pairs, ["a", "b"], "left_anti"), "pairs", files)
+    links = stored(links.union(_verified(docs, more, shingle, least)), "jaccard-links", files)
+    pairs = pairs.union(more)
+    grouped = with_root(members, components(links, links.count()), "id", "root")
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     mixed = stored(grouped.join(mixed.select("key"), "key", "left_semi").select("key", "id", "root"), "mixed", files)
     other = mixed.select("key", F.col("id").alias("b"), F.col("root").alias("other_root"))
     rest = mixed.withColumnRenamed("id", "a").join(other, "key").where("a > b and root <> other_root")
-    rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = stored(rest, "pairs", files)
-    return stars.union(_verified(docs, rest, shingle, least))
+    rest = stored(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", files)
+    return links.union(_verified(docs, rest, shingle, least))
