@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postloom.functions import html as H
 from postloom.functions import text as T
 from postloom.functions.records import is_post
+from postloom.session import broadcast_if_small
 
 # Tags counted by the page statistics, and markers whose presence is flagged.
 STAT_TAGS = {"n_div": "<div", "n_anchor": "<a ", "n_article": "<article"}
@@ -52,6 +53,68 @@ def frames(pages: DataFrame, key: str = "page_id", html: str = "html", tag: str
                        F.expr(H.attr("tag", "class", "No classes")).alias("classes"))
 
 
+# A start tag whose quoted values may hold a `>`, and an attribute of it behind any others.
+FRAME = r"""<(?i:iframe)(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>"""
+_BEFORE = r"""(?s)^<\w+(?:\s+[^\s=>"']+(?:=(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?)*?\s+"""
+
+
+def _frame_attr(tag: str, name: str) -> str:
+    double, single = (H.quoted(rf"{_BEFORE}(?i:{name})={q}([^{q}]*){q}") for q in ('"', "'"))
+    found = f"concat(regexp_extract({tag}, {double}, 1), regexp_extract({tag}, {single}, 1))"
+    return H.unless(H.decode_entities(found), "")
+
+
+def resolved(link: str, base: str) -> str:
+    """The address of a link on the page at `base` (both SQL text), as a browser would open it."""
+    origin = f"regexp_extract({base}, {H.quoted(r'^[a-zA-Z][\w+.-]*://[^/?#]*')}, 0)"
+    folder = f"regexp_extract({base}, {H.quoted(r'^([a-zA-Z][\w+.-]*://[^/?#]*)(/(?:[^?#]*/)?)?')}, 0)"
+    return f"""case when regexp_like({link}, {H.quoted(r'^[a-zA-Z][\w+.-]*:')}) then {link}
+        when startswith({link}, '//') then concat(regexp_extract({base}, '^[a-zA-Z][^:]*:', 0), {link})
+        when startswith({link}, '/') then concat({origin}, {link})
+        else concat({folder}, if(endswith({folder}, '/'), '', '/'), {link}) end"""
+
+
+def _record(html: str, phrases: list[str]) -> list[Column]:
+    """Title, length and indicators (`phrase: n`, those found only) of a page or frame."""
+    lower = F.lower(F.col(html))
+    counts = F.array(*[F.struct(F.lit(p).alias("p"), T.occurrences(lower, F.lit(p.lower())).alias("n")) for p in phrases])
+    found = F.filter(counts, lambda x: x.n > 0)
+    title = H.inner_text(H.select_first(html, H.by_tag("title")))
+    return [F.coalesce(F.expr(title), F.lit("")).alias("title"), F.length(html).cast("bigint").alias("n_chars"),
+            F.transform(found, lambda x: F.concat_ws(": ", x.p, x.n.cast("bigint").cast("string"))).alias("indicators")]
+
+
+def page_records(pages: DataFrame, phrases: list[str] = POST_INDICATORS, key: str = "page_id", html: str = "html",
+                 url: str = "url") -> DataFrame:
+    """`key, url, title, n_chars, indicators` of each page."""
+    return pages.select(key, url, *_record(html, phrases))
+
+
+def frame_records(pages: DataFrame, contents: DataFrame | None = None, phrases: list[str] = POST_INDICATORS,
+                  key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """One row per embedded frame that can be read: `key, frame, url, title, n_chars, indicators`.
+
+    `frame` is the 0-based position among the frames of the page. A frame holds its own source (`srcdoc`), or its
+    address names a page of `contents` (`key, url, html`; by default the pages themselves; of several with an
+    address the one with the smallest key). Frames that hold neither have no row. Only the records of framed
+    pages are joined, not their text.
+    """
+    found = F.regexp_extract_all(F.col(html), F.lit(FRAME), F.lit(0))
+    tags = pages.select(key, F.col(url).alias("_base"), F.posexplode(found).alias("frame", "tag"))
+    rows = tags.select(key, "frame", "_base", F.expr(_frame_attr("tag", "srcdoc")).alias("_html"),
+                       F.expr(_frame_attr("tag", "src")).alias("_src"))
+    inside = rows.where("_html is not null").select(key, "frame", F.lit("about:srcdoc").alias("url"),
+                                                    *_record("_html", phrases))
+    linked = rows.where("_html is null and _src is not null").select(
+        key, "frame", F.expr(resolved("_src", "_base")).alias("url"))
+    others = (pages if contents is None else contents).select(F.col(key).alias("_key"), F.col(url).alias("url"), html)
+    wanted = others.join(broadcast_if_small(linked.select("url").distinct()), "url", "left_semi")
+    records = wanted.select("url", "_key", *_record(html, phrases)).groupBy("url").agg(
+        F.min_by(F.struct("title", "n_chars", "indicators"), "_key").alias("r"))
+    outside = linked.join(broadcast_if_small(records), "url").select(key, "frame", "url", "r.*")
+    return inside.union(outside)
+
+
 def links_matching(links: DataFrame, words: list[str], href: str = "href", text: str = "text") -> DataFrame:
     """Links whose address or text contains one of the words."""
     return links.where(T.contains_any(F.col(href), words) | T.contains_any(F.col(text), words))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.operators import charts, clustering, ingest, records, reports, vectors
@@ -30,7 +31,8 @@ def kmeans_facts(spark, sf):
     facts = moved.agg(F.count(F.lit(1)).alias("n_points"), F.min(F.col("cluster_id").between(1, 10)).alias("labels_in_range"),
                       (F.count_if(F.col("best") != F.col("cluster_id")) <= 0.02 * F.count(F.lit(1))).alias("nearest"))
     # All three are single rows.
-    return facts.join(single, F.lit(True)).join(own, F.lit(True)).select(
+    rows = facts.unionByName(single, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns]).select(
         "n_points", F.round("single", 2).alias("single_cost"), "labels_in_range",
         (F.col("own") < F.col("single")).alias("cheaper"), "nearest")
 
@@ -51,8 +53,9 @@ select cast(unnest(range(1, 9)) as int) as id, count(*) as assigned from posts_v
 def cluster_posts_facts(spark, sf):
     """Ids 1..k, and sizes that add up to all posts."""
     assignments, found = clustering.cluster_posts(V.posts(spark, sf), k=8, n_init=2, stop=STOP)
-    total = found.agg(F.sum("post_count").alias("assigned"))
-    return assignments.select(F.col("cluster_id").alias("id")).distinct().join(F.broadcast(total), F.lit(True))
+    used = assignments.select(F.col("cluster_id").alias("id")).distinct()
+    total = F.sum("post_count").over(Window.partitionBy(F.lit(0)))  # one row per cluster
+    return used.join(found.select("id", "post_count"), "id", "left").select("id", total.alias("assigned"))
 
 
 @query("embed_facts", r"""

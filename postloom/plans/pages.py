@@ -22,8 +22,8 @@ def _pages(spark, sf):
     return spread(read_pages(spark, f"{sf}/pages.parquet"))
 
 
-def _inner(tag: str) -> str:
-    return V.sql_text(f"regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1)")
+def _inner(tag: str, html: str = "html") -> str:
+    return V.sql_text(f"regexp_extract({html}, '(?s)<{tag}>(.*?)</{tag}>', 1)")
 
 
 @query("pages_elements", V.sql_matches("pages", "page_id", "html", r"<p(?:\s[^>]*)?>").replace("as m ", "as tag "))
@@ -137,6 +137,37 @@ def page_stats(spark, sf):
     return pages.page_stats(_pages(spark, sf))
 
 
+def _indicators_sql(html: str) -> str:
+    parts = ", ".join(f"case when contains(lower({html}), '{p}') then '{p}: ' || ((length({html}) - length(replace("
+                      f"lower({html}), '{p}', ''))) // {len(p)}) end" for p in pages.POST_INDICATORS)
+    return f"concat_ws('|', {parts})"
+
+
+@query("page_records", f"""
+select page_id, url, {_inner('title')} as title, cast(length(html) as bigint) as n_chars,
+       {_indicators_sql('html')} as indicators
+from pages""")
+def page_records(spark, sf):
+    return pages.page_records(_pages(spark, sf)).withColumn("indicators", F.array_join("indicators", "|"))
+
+
+@query("page_frame_records", f"""
+with first as (select url, arg_min(html, page_id) as html from pages group by url),
+inside as (select page_id, '<title>Frame ' || page_id || '</title> Saved posts, post' as html from pages)
+select p.page_id, cast(0 as int) as frame, p.url, {_inner('title', 'f.html')} as title,
+       cast(length(f.html) as bigint) as n_chars, {_indicators_sql('f.html')} as indicators
+from pages p join first f on f.url = p.url
+union all
+select page_id, 1, 'about:srcdoc', 'Frame ' || page_id, length(html), {_indicators_sql('html')} from inside""")
+def page_frame_records(spark, sf):
+    """The test pages have no frames: each gets one with its own address and one with a source of its own."""
+    rows = _pages(spark, sf)
+    framed = F.concat("html", F.lit('<iframe class="a" src="'), "url", F.lit('"></iframe><iframe srcdoc="<title>Frame '),
+                      F.col("page_id").cast("string"), F.lit('</title> Saved posts, post"></iframe>'))
+    found = pages.frame_records(rows.withColumn("html", framed), rows)
+    return found.withColumn("indicators", F.array_join("indicators", "|"))
+
+
 PHRASES = ["The", "article", "post", "saved posts", "<p>", "de"]
 
 

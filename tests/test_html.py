@@ -108,6 +108,27 @@ def test_page_profiles(spark):
     assert pages.phrase_counts(rows, ["nope"], positive_only=True).count() == 0
 
 
+def test_frame_records(spark):
+    top = ('<title>Top</title><iframe class="x>y" src="/a?b=1&amp;c=2"></iframe><IFRAME name=\'n\' srcdoc="<title>In &amp; '
+           'out</title><a href=\'u\'>Feed-Shared post, POST</a>" src="/b"></IFRAME><iframe data-src="/a"></iframe>'
+           '<iframe src="rel.html"/><iframe src="https://else.org/"></iframe><iframe src="//x.org/p"></iframe>')
+    rows = spark.createDataFrame([
+        (1, "https://x.org/dir/top.html", top), (2, "https://x.org/a?b=1&c=2", "<title>A</title>saved posts"),
+        (4, "https://x.org/dir/rel.html", "second copy"), (3, "https://x.org/dir/rel.html", "first post"),
+        (5, "https://x.org/p", None), (6, "https://x.org/none", "<p>no frames"), (7, None, '<iframe src="/a"></iframe>')],
+        "page_id bigint, url string, html string")
+    got = {(r["page_id"], r["frame"]): (r["url"], r["title"], r["n_chars"], r["indicators"])
+           for r in pages.frame_records(rows).collect()}
+    assert got == {
+        (1, 0): ("https://x.org/a?b=1&c=2", "A", 27, ["saved posts: 1", "post: 1"]),
+        (1, 1): ("about:srcdoc", "In & out", 61, ["feed-shared: 1", "post: 2"]),
+        (1, 3): ("https://x.org/dir/rel.html", "", 10, ["post: 1"]),
+        (1, 5): ("https://x.org/p", "", None, [])}
+    own = {r["page_id"]: r for r in pages.page_records(rows).collect()}
+    assert len(own) == 7 and own[1]["title"] == "Top" and own[6]["indicators"] == []
+    assert pages.frame_records(rows.limit(0)).count() == 0
+
+
 def test_post_info_uses_the_first_selector_with_posts(spark):
     long = "w" * 60
     rows = spark.createDataFrame([
