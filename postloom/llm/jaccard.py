@@ -1,8 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, each is verified exactly.
 
 A document is first held against the smallest id of its buckets, then against the smallest of each bucket that is
-not in its group by then. Only where a bucket still has members of several groups are the pairs between those groups
-compared too, so a group of near copies costs its size, not its square, and no pair of a bucket is left out.
+not in its group by then. What remains are buckets with members of several groups. Their members are joined by the
+rarest shingles: sets of that similarity share one among the first of each, early enough in both. That loses no
+pair, meets only members of different groups, and shared passages, whose shingles are frequent, play no part.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import files_for, id_and_text, stored, text_slices
@@ -21,6 +22,9 @@ from postloom.session import broadcast_if_small
 #: A pair of similarity 0.8 shares a band with probability 0.9993, one of 0.3 with 0.02.
 BANDS, ROWS = 24, 6
 
+#: Shingles are ranked by the number of those that share so many bits of their hash with them.
+RARITY_BITS = 16
+
 BANDED = "id long, keys array<long>"
 
 
@@ -77,18 +81,81 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) ->
     """The pairs `(a, b)` with at least the similarity; the texts of `docs` are read for those in pairs only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            left, right = ([shingle_hashes(t.encode(), shingle) for t in part.column(c).to_pylist()]
-                           for c in ("text", "other"))
-            good = [jaccard(x, y) >= least for x, y in zip(left, right, strict=True)]
+            left, right = (part.column(c).to_pylist() for c in ("text", "other"))
+            # A text stands in many pairs; no slice holds more of them than its bytes.
+            sets = {text: shingle_hashes(text.encode(), shingle) for text in {*left, *right}}
+            good = [jaccard(sets[x], sets[y]) >= least for x, y in zip(left, right, strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    some = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = broadcast_if_small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = docs.join(some, "id", "left_semi")
     first = pairs.join(texts.select(F.col("id").alias("a"), "text"), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
     return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for part in text_slices(batches):
+        for text in part.column("text").to_pylist():
+            counts += np.bincount(_bucket(shingle_hashes(text.encode(), shingle)), minlength=len(counts))
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], ["bucket", "n"])
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, shingle: int, least: float
+              ) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each text, as many as a similar set can lack and one more."""
+    for part in text_slices(batches):
+        ids, roots, n, at, w = [], [], [], [], []
+        for i, root, text in zip(*(part.column(c).to_pylist() for c in ("id", "root", "text")), strict=True):
+            found = shingle_hashes(text.encode(), shingle)
+            most = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1
+            first = found[np.lexsort((found, counts[_bucket(found)]))][:most if len(found) else 0]
+            ids.append(np.full(len(first), i))
+            roots.append(np.full(len(first), root))
+            n.append(np.full(len(first), len(found)))
+            at.append(np.arange(len(first)))
+            w.append(first.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, roots, n, at, w)],
+                                         ["id", "root", "n", "at", "w"])
+
+
+def _prefix_pairs(docs: DataFrame, members: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs `(a, b)` of different groups among `members` (`id, root`) that may have the similarity.
+
+    The groups of a shingle are numbered; two differ at a highest binary digit, so each side of each digit is joined
+    with the other. Members of one group never meet, however many they are.
+    """
+    texts = docs.join(broadcast_if_small(members), "id")
+    seen = texts.select("text").mapInArrow(lambda batches: _bucket_counts(batches, shingle), "bucket int, n long")
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for row in seen.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2 ** RARITY_BITS rows
+        counts[row["bucket"]] = row["n"]
+    rows = stored(texts.mapInArrow(lambda batches: _prefixes(batches, counts, shingle, least),
+                                   "id long, root long, n long, at long, w long"), "prefixes", files_for(docs, 0.2))
+    number = F.row_number().over(Window.partitionBy("w").orderBy("root")) - 1
+    groups = rows.select("w", "root").distinct().select("w", "root", number.alias("g"))
+    last = groups.groupBy("w").agg(F.max("g").alias("last")).where("last > 0")
+    digit = F.explode(F.sequence(F.lit(0), F.floor(F.log2("last") + 1e-9).cast("int"))).alias("digit")
+    groups = groups.join(last, "w").select("w", "root", "g", digit)
+    sides = stored(rows.join(groups, ["w", "root"]).select("w", "digit", F.expr("shiftright(g, digit + 1)").alias("above"),
+                                                           F.expr("shiftright(g, digit) & 1").alias("side"), "id", "n", "at"),
+                   "prefix-sides", files_for(docs, 0.2))
+    a = sides.where("side = 0").select("w", "digit", "above", F.col("id").alias("a"), F.col("n").alias("na"),
+                                       F.col("at").alias("pa"))
+    b = sides.where("side = 1").select("w", "digit", "above", F.col("id").alias("b"), F.col("n").alias("nb"),
+                                       F.col("at").alias("pb"))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = left * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
+    return a.join(b, ["w", "digit", "above"]).where(enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b")
+                                                                  .alias("b")).distinct()
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                   least: float = 0.8) -> DataFrame:
     """Links `(a, b)` of documents that connect all pairs with the given similarity found in a common bucket.
@@ -117,8 +184,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.union(more)
     grouped = with_root(members, components(links, links.count()), "id", "root")
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = stored(grouped.join(mixed.select("key"), "key", "left_semi").select("key", "id", "root"), "mixed", files)
-    other = mixed.select("key", F.col("id").alias("b"), F.col("root").alias("other_root"))
-    rest = mixed.withColumnRenamed("id", "a").join(other, "key").where("a > b and root <> other_root")
-    rest = stored(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", files)
-    return links.union(_verified(docs, rest, shingle, least))
+    mixed = stored(grouped.join(mixed.select("key"), "key", "left_semi").select("id", "root").distinct(), "mixed", files)
+    rest = _prefix_pairs(docs, mixed, shingle, least).join(pairs, ["a", "b"], "left_anti")
+    return links.union(_verified(docs, stored(rest, "pairs", files), shingle, least))

@@ -5,10 +5,12 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
-from cases import empty, frame, rows
+from cases import components, empty, frame, rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import compare, connect
+from postloom.llm.jaccard import _prefix_pairs, jaccard_links
 from postloom.llm.queries import ORACLES, QUERIES
 from postloom.llm.simhash import simhash
 
@@ -114,3 +116,27 @@ def test_near_copies_of_five_word_shingles(spark, tmp_path):
     docs = frame(spark, [(i, " ".join(t), "en", "s1", None, "", "", "", "", None, "") for i, t in data])
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
     assert kept == want
+
+
+def test_dense_group_of_borderline_copies(spark):
+    """Copies of one text with a few edits each, most not similar to the first: no link is lost, and shared
+    passages make no pairs."""
+    rng = np.random.default_rng(8)
+    base, passage = [f"w{x}" for x in range(150)], [f"p{x}" for x in range(40)]
+    texts = []
+    for n in range(120):
+        text = list(base)
+        for k in rng.choice(30, int(rng.integers(1, 7)), replace=False):
+            text[5 * k] = f"e{n}x{k}"
+        texts.append(text)
+    texts += [[f"q{n}x{k}" for k in range(30)] + passage for n in range(60)]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r["a"], r["b"]) for r in jaccard_links(rows).collect()}
+    assert found <= {*links, *((j, i) for i, j in links)}
+    assert components(len(texts), found) == components(len(texts), links)
+    assert 1 < len(set(components(len(texts), links))) < len(texts)
+    everyone = rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"))
+    pairs = {(r["a"], r["b"]) for r in _prefix_pairs(rows.withColumnRenamed("doc_id", "id"), everyone, 5, 0.8).collect()}
+    assert pairs >= set(links) and len(pairs) < 5000 and not any(a >= 120 for a, _ in pairs)
