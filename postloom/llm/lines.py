@@ -1,6 +1,6 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. Words are ordered by rarity; two sets that are similar enough share a word
+A line is the set of its words. Words are ordered by rarity; two sets that are similar enough share words
 among the first few of each, so only those first words (the prefix) are joined. Position and length of the
 sets rule out most of what meets, the rest is verified on the whole sets. Words are compared by 63-bit hashes.
 
@@ -21,6 +21,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Jaccard similarity as a fraction.
 SIMILAR = (4, 5)
 
+#: Words that the prefixes of two similar sets share at least (all they share, if those are fewer).
+SHARED = 3
+
 BUCKET_BITS = 15
 _LOW = (1 << 48) - 1
 
@@ -59,7 +62,7 @@ def line_sets(texts: DataFrame, ranks: Column, similar: tuple[int, int] = SIMILA
     lines = texts.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     sets = lines.select("id", "key", "line", word_set(F.col("body"), ranks).alias("s")).where(F.size("s") > 0)
     n = F.size("s")
-    first = F.slice("s", F.lit(1), (n - _ceil(n * num, den) + 1).cast("int"))
+    first = F.slice("s", F.lit(1), (n - _ceil(n * num, den) + SHARED).cast("int"))
     return sets.select("id", "key", "line", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit("second"), "s").alias("k2"),
                        n.alias("n"), F.transform(first, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
                        .alias("prefix"))
@@ -75,11 +78,13 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 
 def candidate_sets(classes: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Pairs `a, b` of numbers of sets that share a word of their prefixes and pass the length and position filter.
+    """Pairs `a, b` of numbers of sets that share `SHARED` words of their prefixes and pass the length and position
+    filter.
 
-    The sizes of two sets bound the words they must share. At the first word that two sets share, no more can be
-    shared than that word and what follows behind it in either; a meeting at a word where that is too little is
-    not passed on, so a pair that is similar is passed on at its first shared word at least.
+    The sizes of two sets bound the words they must share. A prefix is so long that all but `SHARED` - 1 of those
+    can stand behind it. At the k-th word that two sets share, no more can be shared than k and what follows behind
+    it in either; a meeting at a word where that is too little for k = `SHARED` is not passed on, so of a pair that
+    is similar the first `SHARED` meetings are.
     """
     num, den = similar
     col = F.col
@@ -87,10 +92,12 @@ def candidate_sets(classes: DataFrame, similar: tuple[int, int] = SIMILAR) -> Da
     a, b = words.alias("a"), words.alias("b")
     once = (col("a.n") < col("b.n")) | ((col("a.n") == col("b.n")) & (col("a.cid") < col("b.cid")))
     length = col("b.n") * num <= col("a.n") * den
-    left = F.least(col("a.n") - col("a.at"), col("b.n") - col("b.at"))
-    position = left * (num + den) >= (col("a.n") + col("b.n")) * num
-    return a.join(b, (col("a.w") == col("b.w")) & once & length & position).select(
-        col("a.cid").alias("a"), col("b.cid").alias("b")).distinct()
+    behind = F.least(col("a.n") - col("a.at"), col("b.n") - col("b.at")) + (SHARED - 1)
+    position = behind * (num + den) >= (col("a.n") + col("b.n")) * num
+    met = a.join(b, (col("a.w") == col("b.w")) & once & length & position)
+    needed = F.least(F.lit(SHARED), _ceil((col("n") + col("m")) * num, num + den))
+    return met.groupBy(col("a.cid").alias("a"), col("b.cid").alias("b"), col("a.n").alias("n"), col("b.n").alias("m")).agg(
+        F.count(F.lit(1)).alias("shared")).where(col("shared") >= needed).select("a", "b")
 
 
 def similar_sets(texts: DataFrame, classes: DataFrame, ranks: Column, similar: tuple[int, int] = SIMILAR) -> DataFrame:
