@@ -103,7 +103,7 @@ def candidate_sets(classes: DataFrame, similar: tuple[int, int] = SIMILAR) -> Da
 def similar_sets(texts: DataFrame, classes: DataFrame, ranks: Column, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Every link between two distinct sets, once: their numbers `a, b` and the addresses `first, other`."""
     num, den = similar
-    met = stored(candidate_sets(classes, similar), "line-candidates", files_for(classes, 0.3))
+    met = stored(candidate_sets(classes, similar), "line-candidates")
     # Only the lines that met another are read again, each at its address.
     wanted = met.select(F.col("a").alias("cid")).union(met.select("b")).distinct()
     found = (wanted.join(classes.select("cid", "first"), "cid")
@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = stored(line_sets(known, ranks, similar), "line-sets")
     classes = stored(set_classes(sets), "line-classes")
     links = stored(similar_sets(known, classes, ranks, similar).select(
-        "a", "b", (F.col("first") > F.col("other")).alias("later")), "line-links", files_for(classes, 0.2))
+        "a", "b", (F.col("first") > F.col("other")).alias("later")), "line-links")
     ends = links.select(F.col("a").alias("cid"), "later").union(links.select("b", ~F.col("later")))
     linked = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.max("later").alias("goes"))
     verdict = classes.select("cid", "k1", "k2", "first").join(linked, "cid", "left")
@@ -148,7 +148,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", "key", "line", F.coalesce("n", F.lit(0)).alias("n"),
         ((here != F.col("first")) | F.coalesce("goes", F.lit(False))).alias("goes")).where("goes or n > 0")
     found = judged.groupBy("id", "key").agg(F.collect_set(F.struct("line", "n", "goes")).alias("found"))
-    rows = texts.select("id", "key", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = texts.select("id", "key", (ends + 1).alias("n_lines"))
     lines = F.coalesce("found", F.array().cast("array<struct<line:int,n:bigint,goes:boolean>>"))
     gone = F.array_sort(F.transform(F.filter(lines, lambda x: x.goes), lambda x: x.line))
     return rows.join(found, ["id", "key"], "left").select(
