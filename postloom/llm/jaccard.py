@@ -1,9 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, each is verified exactly.
 
 A document is first held against the smallest id of its buckets, then against the smallest of each bucket that is
-not in its group by then. What remains are buckets with members of several groups. Their members are joined by the
-rarest shingles: sets of that similarity share one among the first of each, early enough in both. That loses no
-pair, meets only members of different groups, and shared passages, whose shingles are frequent, play no part.
+not in its group by then. What remains are buckets with members of several groups. They are cut into chunks, and
+each two chunks are compared inside a task, which returns links only; chunks of one large group do not meet. So a
+group of near copies costs its size times the number of those in its buckets that are not in it, and no pair of
+different groups in a bucket is left out.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import files_for, id_and_text, stored, text_slices
@@ -22,8 +23,8 @@ from postloom.session import broadcast_if_small
 #: A pair of similarity 0.8 shares a band with probability 0.9993, one of 0.3 with 0.02.
 BANDS, ROWS = 24, 6
 
-#: Shingles are ranked by the number of those that share so many bits of their hash with them.
-RARITY_BITS = 16
+#: Members of a bucket that are compared at once.
+CHUNK = 512
 
 BANDED = "id long, keys array<long>"
 
@@ -94,66 +95,76 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) ->
     return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    for part in text_slices(batches):
-        for text in part.column("text").to_pylist():
-            counts += np.bincount(_bucket(shingle_hashes(text.encode(), shingle)), minlength=len(counts))
-    found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], ["bucket", "n"])
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+def _chunk_units(members: DataFrame) -> DataFrame:
+    """Members of buckets with several groups (`key, id, root`) dealt to units of two chunks: `key, u, v, side, id, root`.
 
-
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, shingle: int, least: float
-              ) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each text, as many as a similar set can lack and one more."""
-    for part in text_slices(batches):
-        ids, roots, n, at, w = [], [], [], [], []
-        for i, root, text in zip(*(part.column(c).to_pylist() for c in ("id", "root", "text")), strict=True):
-            found = shingle_hashes(text.encode(), shingle)
-            most = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1
-            first = found[np.lexsort((found, counts[_bucket(found)]))][:most if len(found) else 0]
-            ids.append(np.full(len(first), i))
-            roots.append(np.full(len(first), root))
-            n.append(np.full(len(first), len(found)))
-            at.append(np.arange(len(first)))
-            w.append(first.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, roots, n, at, w)],
-                                         ["id", "root", "n", "at", "w"])
-
-
-def _prefix_pairs(docs: DataFrame, members: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Pairs `(a, b)` of different groups among `members` (`id, root`) that may have the similarity.
-
-    The groups of a shingle are numbered; two differ at a highest binary digit, so each side of each digit is joined
-    with the other. Members of one group never meet, however many they are.
+    A group with `CHUNK` members in a bucket has chunks of its own, the others share theirs.
     """
-    texts = docs.join(broadcast_if_small(members), "id")
-    seen = texts.select("text").mapInArrow(lambda batches: _bucket_counts(batches, shingle), "bucket int, n long")
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    for row in seen.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2 ** RARITY_BITS rows
-        counts[row["bucket"]] = row["n"]
-    rows = stored(texts.mapInArrow(lambda batches: _prefixes(batches, counts, shingle, least),
-                                   "id long, root long, n long, at long, w long"), "prefixes", files_for(docs, 0.2))
-    number = F.row_number().over(Window.partitionBy("w").orderBy("root")) - 1
-    groups = rows.select("w", "root").distinct().select("w", "root", number.alias("g"))
-    last = groups.groupBy("w").agg(F.max("g").alias("last")).where("last > 0")
-    digit = F.explode(F.sequence(F.lit(0), F.floor(F.log2("last") + 1e-9).cast("int"))).alias("digit")
-    groups = groups.join(last, "w").select("w", "root", "g", digit)
-    sides = stored(rows.join(groups, ["w", "root"]).select("w", "digit", F.expr("shiftright(g, digit + 1)").alias("above"),
-                                                           F.expr("shiftright(g, digit) & 1").alias("side"), "id", "n", "at"),
-                   "prefix-sides", files_for(docs, 0.2))
-    a = sides.where("side = 0").select("w", "digit", "above", F.col("id").alias("a"), F.col("n").alias("na"),
-                                       F.col("at").alias("pa"))
-    b = sides.where("side = 1").select("w", "digit", "above", F.col("id").alias("b"), F.col("n").alias("nb"),
-                                       F.col("at").alias("pb"))
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    enough = left * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
-    return a.join(b, ["w", "digit", "above"]).where(enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b")
-                                                                  .alias("b")).distinct()
+    per_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    owner = F.when(F.col("c") >= CHUNK, F.col("root")).otherwise(F.lit(None))
+    pools = per_root.withColumn("owner", owner).groupBy("key", "owner").agg(F.sum("c").alias("c")).select(
+        "key", "owner", F.ceil(F.col("c") / CHUNK).cast("int").alias("parts"))
+    # One entry per chunk of a bucket.
+    chunks = pools.select("key", "owner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    listed = chunks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("owner", "part"))).alias("chunks"))
+    placed = members.join(per_root.select("key", "root", owner.alias("owner")), ["key", "root"])
+    pools = pools.select(F.col("key").alias("k"), F.col("owner").alias("o"), "parts")
+    placed = placed.join(pools, (placed["key"] == pools["k"]) & placed["owner"].eqNullSafe(pools["o"])).join(listed, "key")
+    numbered = F.transform("chunks", lambda x, i: F.named_struct(F.lit("owner"), x.owner, F.lit("part"), x.part,
+                                                                 F.lit("at"), i))
+    mine = F.filter(numbered, lambda x: x.owner.eqNullSafe(F.col("owner"))
+                    & (x.part == F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    at = F.get(mine, F.lit(0)).getField("at").alias("mine")
+    met = placed.select("key", "id", "root", "owner", at, F.posexplode("chunks").alias("other", "chunk")).where(
+        F.col("owner").isNull() | ~F.col("chunk.owner").eqNullSafe(F.col("owner")))
+    return met.select("key", F.least("mine", "other").alias("u"), F.greatest("mine", "other").alias("v"),
+                      (F.col("mine") > F.col("other")).alias("side"), "id", "root")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], block: int = 2048) -> np.ndarray:
+    """Common members of every set of `left` and every set of `right`."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def marked(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(sets), len(some)), np.float32)
+        for row, values in zip(found, sets, strict=True):
+            row[np.searchsorted(some, np.intersect1d(values, some, assume_unique=True))] = 1
+        return found
+
+    for at in range(0, len(common), block):
+        some = common[at:at + block]
+        out += marked(left, some) @ marked(right, some).T
+    return out
+
+
+def _unit_links(docs: DataFrame, units: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links `(a, b)` between different groups of a unit; of two groups, one link."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = [shingle_hashes(t.encode(), shingle).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides, ids, roots = (table.column(c).to_numpy() for c in ("side", "id", "root"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        left = np.arange(len(ids)) if table.column("u")[0] == table.column("v")[0] else np.flatnonzero(~sides)
+        right = left if len(left) == len(ids) else np.flatnonzero(sides)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sizes = np.array([len(x) for x in sets])
+        both = _shared([sets[i] for i in left], [sets[i] for i in right])
+        near = both >= least * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-6
+        x, y = np.nonzero(near & (roots[left][:, None] != roots[right][None, :]))
+        x, y = left[x], right[y]
+        _, first = np.unique(np.stack([np.minimum(roots[x], roots[y]), np.maximum(roots[x], roots[y])]), axis=1,
+                             return_index=True)
+        return pa.table({"a": pa.array(ids[x][first]), "b": pa.array(ids[y][first])})
+
+    some = broadcast_if_small(units.select("id").distinct())
+    sets = stored(docs.join(some, "id", "left_semi").mapInArrow(hashed, "id long, shingles binary"), "shingles",
+                  files_for(docs, 0.2))
+    return units.join(sets, "id").groupBy("key", "u", "v").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -181,9 +192,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = stored(apart.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct().join(
         pairs, ["a", "b"], "left_anti"), "pairs", files)
     links = stored(links.union(_verified(docs, more, shingle, least)), "jaccard-links", files)
-    pairs = pairs.union(more)
     grouped = with_root(members, components(links, links.count()), "id", "root")
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = stored(grouped.join(mixed.select("key"), "key", "left_semi").select("id", "root").distinct(), "mixed", files)
-    rest = _prefix_pairs(docs, mixed, shingle, least).join(pairs, ["a", "b"], "left_anti")
-    return links.union(_verified(docs, stored(rest, "pairs", files), shingle, least))
+    mixed = stored(grouped.join(mixed.select("key"), "key", "left_semi").select("key", "id", "root"), "mixed", files)
+    units = stored(_chunk_units(mixed), "chunk-units", files)
+    return links.union(_unit_links(docs, units, shingle, least))

@@ -6,11 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 from cases import components, empty, frame, rows
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import compare, connect
-from postloom.llm.jaccard import _prefix_pairs, jaccard_links
+from postloom.llm import jaccard
+from postloom.llm.jaccard import jaccard_links
 from postloom.llm.queries import ORACLES, QUERIES
 from postloom.llm.simhash import simhash
 
@@ -137,6 +137,30 @@ def test_dense_group_of_borderline_copies(spark):
     assert found <= {*links, *((j, i) for i, j in links)}
     assert components(len(texts), found) == components(len(texts), links)
     assert 1 < len(set(components(len(texts), links))) < len(texts)
-    everyone = rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"))
-    pairs = {(r["a"], r["b"]) for r in _prefix_pairs(rows.withColumnRenamed("doc_id", "id"), everyone, 5, 0.8).collect()}
-    assert pairs >= set(links) and len(pairs) < 5000 and not any(a >= 120 for a, _ in pairs)
+
+
+def test_chunks_meet_once_and_find_all_links(spark, monkeypatch):
+    """Every pair of different groups of a bucket shares a unit; the chunks of one large group do not."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rnd = np.random.default_rng(2)
+    data = [(1, i, 0 if i < 40 else 1 if i < 60 else i) for i in range(90)] + [(2, i, i) for i in range(5)]
+    members = spark.createDataFrame(data, "key long, id long, root long")
+    units = jaccard._chunk_units(members).toPandas()
+    met = set()
+    for (key, u, v), part in units.groupby(["key", "u", "v"]):
+        left, right = (part, part) if u == v else (part[~part.side], part[part.side])
+        met |= {(key, a, b) for a in left.id for b in right.id}
+        big = {r for r in part.root if key == 1 and r < 2}
+        assert len(part) > 0 and (u != v or not big)
+    root = {(k, i): r for k, i, r in data}
+    want = {(k, a, b) for k, a, r in data for x, b, q in data if x == k and r != q}
+    assert want <= met | {(k, b, a) for k, a, b in met}
+    assert not any(root[k, a] == root[k, b] < 2 and k == 1 for k, a, b in met)
+    texts = {i: [f"w{x}" if rnd.random() > .04 else f"e{i}x{x}" for x in range(80)] for i in range(90)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    sets = {i: {tuple(t[k:k + 5]) for k in range(len(t) - 4)} for i, t in texts.items()}
+    near = {(root[1, a], root[1, b]) for a in range(90) for b in range(90) if root[1, a] < root[1, b]
+            and 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
+    found = jaccard._unit_links(docs, jaccard._chunk_units(members.where("key = 1")), 5, 0.6).collect()
+    got = {tuple(sorted((root[1, r["a"]], root[1, r["b"]]))) for r in found}
+    assert got == near and len(near) > 20
