@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import files_for, id_and_text, stored, text_slices
+from postloom.llm.common import files_for, id_and_text, stored, text_slices, tidied
 from postloom.llm.components import components
 from postloom.session import broadcast_if_small
 
@@ -92,7 +92,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) ->
     texts = docs.join(some, "id", "left_semi")
     first = pairs.join(texts.select(F.col("id").alias("a"), "text"), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
-    return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text", "other").mapInArrow(tidied(run), "a long, b long")
 
 
 def _chunk_units(members: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _unit_links(docs: DataFrame, units: DataFrame, shingle: int, least: float) -
         return pa.table({"a": pa.array(ids[x][first]), "b": pa.array(ids[y][first])})
 
     some = broadcast_if_small(units.select("id").distinct())
-    sets = stored(docs.join(some, "id", "left_semi").mapInArrow(hashed, "id long, shingles binary"), "shingles",
+    sets = stored(docs.join(some, "id", "left_semi").mapInArrow(tidied(hashed), "id long, shingles binary"), "shingles",
                   files_for(docs, 0.2))
     return units.join(sets, "id").groupBy("key", "u", "v").applyInArrow(compare, "a long, b long")
 
@@ -175,7 +175,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without words have no links. `least` below 0.8 needs more bands.
     """
     docs = id_and_text(docs, id_col, text_col)
-    bands = stored(docs.mapInArrow(lambda batches: _banded(batches, shingle), BANDED), "bands", files_for(docs, 0.2))
+    bands = stored(docs.mapInArrow(tidied(lambda batches: _banded(batches, shingle)), BANDED), "bands", files_for(docs, 0.2))
     members = bands.select("id", F.explode("keys").alias("key"))  # a key holds the number of its band
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(heads, "key").select("key", "id", "head"), "members", files_for(docs, 0.2))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import files_for, id_and_text, partitions, stored, text_slices
+from postloom.llm.common import files_for, id_and_text, partitions, stored, text_slices, tidied
 from postloom.llm.components import components
 
 #: Fingerprints of a group that are compared in one piece; larger groups are cut into pairs of chunks.
@@ -34,7 +34,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))],
                                              ["id", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidied(run), "id long, fp long")
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:

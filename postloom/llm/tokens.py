@@ -2,8 +2,9 @@
 
 Such a tokenizer never joins a space and the visible character after it with what stands before, so the
 ids of a text are the ids of its pieces between spaces, one after the other. Pieces repeat; each worker
-encodes a piece once and looks it up from then on, in Arrow arrays that hold all its pieces and their ids. Texts with a piece that is empty or starts with white
-space (several spaces in a row, a space before a line end) are encoded as a whole.
+encodes a piece once and looks it up from then on, in Arrow arrays that hold all its pieces and their ids.
+Texts with a piece that is empty or starts with white space (several spaces in a row, a space before a line
+end) are encoded as a whole.
 """
 
 from __future__ import annotations

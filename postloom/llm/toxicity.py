@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import column, stored, text_slices
+from postloom.llm.common import column, stored, text_slices, tidied
 
 #: Labelled documents the chain is fitted on at most, and features taken per category at most.
 SAMPLE_ROWS, FEATURES = 20_000, 250
@@ -265,7 +265,7 @@ def score_chain(docs: DataFrame, chain: Chain, keep: list[str], text_col: str =
                  pa.ListArray.from_arrays(cuts, pa.array(flags.ravel()))], [*kinds, "p", "flags"])
 
     schema = ", ".join([*(f"{k} {kind}" for k, kind in kinds.items()), "p array<double>", "flags array<boolean>"])
-    scored = rows.mapInArrow(run, schema)
+    scored = rows.mapInArrow(tidied(run), schema)
     return scored.select(*[F.col(k).alias(name) for k, name in zip(kinds, keep, strict=True)], "p", "flags")
 
 
