@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ INDEX = "bucket int, digest binary, keep_id long, group_size long, filter binary
 #: Digests a bucket is planned for.
 BUCKET_DIGESTS = 50_000
 
+#: Rows of a map task whose copies are combined at once.
+RUN_ROWS = 100_000
+
 
 class CuckooFilter:
     """Set of digests (bytes with uniform bits) with deletion: two candidate rows of four 16-bit marks each."""
@@ -126,14 +130,34 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text: Column | str = "
                        F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).alias("digest"))
 
 
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`digest, keep_id, group_size`: the copies of a digest among each `RUN_ROWS` rows of a task as one row."""
+    def run(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        found = pa.Table.from_batches(held).group_by("digest").aggregate(
+            [("id", "max"), ("id", "count", pc.CountOptions(mode="all"))])
+        return found.select(["digest", "id_max", "id_count"]).rename_columns(
+            ["digest", "keep_id", "group_size"]).to_batches()
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= RUN_ROWS:
+            yield from run(held)
+            held, n = [], 0
+    if n:
+        yield from run(held)
+
+
 def update_index(digests: DataFrame, index: DataFrame | None = None, deleted: DataFrame | None = None,
                  buckets: int | None = None) -> DataFrame:
     """The index after deleting the digests of `deleted` and then inserting all rows of `digests`.
 
     `digests` is `(id, digest)`, `deleted` `(digest)`, `index` an earlier result with the same number of
     buckets. One row per live digest (`bucket, digest, keep_id, group_size`) and one per bucket with its
-    filter and a null digest. Map tasks combine the copies of a digest before the shuffle, so a digest that
-    a third of all documents share reaches its bucket as one row per task. Null ids count as copies but stay
+    filter and a null digest. Map tasks combine the copies of a digest before the one shuffle, so a digest that
+    a third of all documents share reaches its bucket as one row per task and run of rows; there the rows of
+    several tasks meet in the filter and are verified against the live digests. Null ids count as copies but stay
     only where no copy has an id; repeated rows count as often as they occur.
     """
     if index is not None:
@@ -145,9 +169,9 @@ def update_index(digests: DataFrame, index: DataFrame | None = None, deleted: Da
     # Bits of the digest that the filter does not use.
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
     none = F.lit(None)
-    steps = [digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-             .select(bucket, "digest", "keep_id", "group_size", none.cast("binary").alias("filter"),
-                     F.lit(2).alias("step"))]
+    copies = digests.select("id", "digest").mapInArrow(combined, "digest binary, keep_id long, group_size long")
+    steps = [copies.select(bucket, "digest", "keep_id", "group_size", none.cast("binary").alias("filter"),
+                           F.lit(2).alias("step"))]
     if index is not None:
         steps.append(index.withColumn("step", F.lit(0)))
     if deleted is not None:

@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from cases import components, empty, frame, rows
 
-from postloom.llm import substrings
+from postloom.llm import exact, substrings
 from postloom.llm.exact import Bucket, CuckooFilter, exact_groups, text_digests, update_index
 from postloom.llm.lines import dedup_lines, without_lines
 from postloom.llm.simhash import forest, simhash, simhash_groups
@@ -57,6 +58,28 @@ def test_exact_index_grows_and_forgets(spark):
         "a": (10, 3), "c": (2, 1), "d": (11, 1)}
 
 
+def test_exact_copies_of_several_tasks_meet_in_the_index(spark):
+    """A hot digest and null ids, in every order of arrival: combined per task, verified and replaced in buckets."""
+    data = [(i if i % 7 else None, "hot" if i % 3 == 0 else f"t{i % 40}" if i % 2 else "no id") for i in range(600)]
+    data = [(None if t == "no id" else i, t) for i, t in data]
+    want = defaultdict(lambda: (None, 0))
+    for i, t in data:
+        keep, n = want[hashlib.sha256(t.encode()).digest()]
+        want[hashlib.sha256(t.encode()).digest()] = (max((x for x in (keep, i) if x is not None), default=None), n + 1)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    found = update_index(text_digests(docs), buckets=8).where("digest is not null").collect()
+    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in found} == want
+
+
+def test_exact_combines_run_by_run(monkeypatch):
+    monkeypatch.setattr(exact, "RUN_ROWS", 4)
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "digest": pa.array(keys, pa.binary())})
+               for ids, keys in (([1, None], [b"a", b"b"]), ([5, 3], [b"a", b"a"]), ([], []), ([None, 2], [b"b", b"a"]))]
+    got = [sorted(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in exact.combined(iter(batches))]
+    assert got == [[(b"a", 5, 3), (b"b", None, 1)], [(b"a", 2, 1), (b"b", None, 1)]]
+    assert list(exact.combined(iter([]))) == []
+
+
 def plain_simhash(text):
     words = re.findall(SPACE.encode(), text.encode().lower())
     shingles = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)] * bool(words)
