@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from postloom.functions.text import tokens
 from postloom.session import broadcast_if_small, checkpointed
@@ -23,6 +26,9 @@ from postloom.session import broadcast_if_small, checkpointed
 # Largest centroid table (values) that is held by the driver and every task.
 MODEL_VALUES = 8_000_000
 BLOCK_ROWS = 2_000
+# Vector components and sums of a block of the exact silhouette, which may have more rows than that.
+BLOCK_VALUES = 2_000_000
+BLOCK_SUMS = 4_000_000
 
 
 def as_vector(df: DataFrame, vec: str) -> Column:
@@ -193,50 +199,130 @@ def reassign_small(points: DataFrame, min_size: int = 3, vec: str = "embedding")
     return move_clusters(points.select("id", "cluster_id"), small_cluster_moves(points, min_size, vec))
 
 
+def _distance_tiles() -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[slice, slice, np.ndarray]]]:
+    """The function tasks run; made here, it travels with them and needs no package on the workers."""
+    def direct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.sqrt(((x - y) ** 2).sum(axis=-1))
+
+    def tiles(x: np.ndarray, y: np.ndarray, high: int = 128, wide: int = 1024
+              ) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        # |x|^2 + |y|^2 - 2xy by one matrix product, about a common middle. Where that difference is too small to be
+        # exact, or a vector has no finite square, the distance is worked out from the components.
+        with np.errstate(all="ignore"):
+            usual = np.abs(x).max(axis=1, initial=0) < 1e100
+            middle = x[usual].mean(axis=0) if usual.any() else 0.0
+            x, y = x - middle, y - middle
+            odd_x, odd_y = (~(np.abs(m).max(axis=1, initial=0) < 1e100) for m in (x, y))
+            xs, ys = np.where(odd_x[:, None], 0.0, x), np.where(odd_y[:, None], 0.0, y)
+            xx, yy, across = (xs * xs).sum(axis=1), (ys * ys).sum(axis=1), -2.0 * ys.T
+            for j in range(0, len(y), wide):
+                cols = slice(j, j + wide)
+                for i in range(0, len(x), high):
+                    rows = slice(i, i + high)
+                    dist = xs[rows] @ across[:, cols]
+                    dist += xx[rows, None]
+                    dist += yy[cols]
+                    close = np.nonzero((dist < (1e-6 * (xx[rows] + yy[cols].max()))[:, None]).ravel())[0]
+                    np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+                    for k in range(0, len(close), 1 << 14):
+                        at = np.divmod(close[k:k + (1 << 14)], dist.shape[1])
+                        dist[at] = direct(x[rows][at[0]], y[cols][at[1]])
+                    for k in np.flatnonzero(odd_x[rows]):
+                        dist[k] = direct(x[i + k], y[cols])
+                    for k in np.flatnonzero(odd_y[cols]):
+                        dist[:, k] = direct(x[rows], y[j + k])
+                    yield rows, cols, dist
+
+    return tiles
+
+
 def silhouettes(points: DataFrame, labels: list[str], vec: str = "embedding",
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """Exact Euclidean silhouette `(id, labelling, cluster_id, silhouette)` under one or several labellings.
 
     A labelling is an integer column, numbered by its place in `labels`; a point in a cluster of one scores 0.
     Points are spread over blocks by hash. Every pair of blocks is one task that works out the distances
-    as a matrix, once for all labellings, and returns per point and cluster only their sum; no row per
-    pair of points exists. The work is quadratic by definition: see `clustering.silhouette_fast` for
-    large tables.
+    by matrix products, a tile at a time and once for all labellings, and returns per point and cluster only their
+    sum; no row per pair of points exists. Each point is sent to every block, so the blocks are as large as the
+    vectors and sums of two of them may be (`BLOCK_VALUES`, `BLOCK_SUMS`), but not so large that cores are left
+    without a pair. The work is quadratic by definition: see `clustering.silhouette_fast` for large tables.
     """
     marks = F.array(*[F.col(c).cast("int") for c in labels])
-    rows = points.select("id", marks.alias("c"), F.col(vec).cast("array<double>").alias("v"))
-    blocks = max(1, math.ceil(rows.count() / block_rows))
+    plain = points.schema[vec].dataType.simpleString() in ("array<float>", "array<double>")
+    rows = points.select("id", marks.alias("c"), (F.col(vec) if plain else F.col(vec).cast("array<double>")).alias("v"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.array(*[
+        F.approx_count_distinct(F.col("c")[i]) for i in range(len(labels))]).alias("used")).first()
+    if block_rows is None:
+        most = min(BLOCK_VALUES // max(1, size["d"] or 0), BLOCK_SUMS // max(1, sum(size["used"])))
+        pairs = 3 * points.sparkSession.sparkContext.defaultParallelism
+        block_rows = max(BLOCK_ROWS, min(most, math.ceil(size["n"] / (math.isqrt(2 * pairs) + 1))))
+    blocks = max(1, math.ceil(size["n"] / block_rows))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # A pair (a, b) with a <= b serves both directions.
     upper = placed.select(F.col("block").alias("a"),
                           F.explode(F.sequence("block", F.lit(blocks - 1))).alias("b"), "id", "c", "v")
     lower = placed.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"),
                           F.col("block").alias("b"), "id", "c", "v")
-    id_type = points.schema["id"].dataType.simpleString()
-
-    def side(rows: pd.DataFrame, others: pd.DataFrame, dist: np.ndarray) -> Iterator[pd.DataFrame]:
-        ids, mine, theirs = rows["id"].to_numpy(), np.stack(rows["c"].to_list()), np.stack(others["c"].to_list())
-        for which in range(theirs.shape[1]):
-            names, codes = np.unique(theirs[:, which], return_inverse=True)
-            member = np.zeros((len(codes), len(names)))
-            member[np.arange(len(codes)), codes] = 1.0
-            yield pd.DataFrame({
-                "id": np.repeat(ids, len(names)), "labelling": which, "own": np.repeat(mine[:, which], len(names)),
-                "other": np.tile(names, len(ids)), "total": (dist @ member).ravel(),
-                "n": np.tile(member.sum(axis=0), len(ids))})
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "labelling": [], "own": [], "other": [], "total": [], "n": []})
-        x, y = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
-        dist = np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
-        out = list(side(left, right, dist))
-        if left["a"].iloc[0] != right["b"].iloc[0]:
-            out += side(right, left, dist.T)
-        return pd.concat(out)
-
-    partial = upper.groupBy("a", "b").cogroup(lower.groupBy("a", "b")).applyInPandas(
-        sums, f"id {id_type}, labelling int, own int, other int, total double, n double")
+    field = points.schema["id"]
+    out = StructType([StructField("id", field.dataType)]).add("labelling", "integer").add("own", "integer").add(
+        "other", "integer").add("total", "double").add("n", "double")
+    tiles = _distance_tiles()
+    n_labels = len(labels)
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        if lists.null_count or pc.min_max(lists.value_lengths())["min"] != pc.min_max(lists.value_lengths())["max"]:
+            raise ValueError("all vectors must be given and have the same length")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return flat.reshape(len(lists), -1)
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        shape = pa.schema([pa.field("id", left.schema.field("id").type), ("labelling", pa.int32()), ("own", pa.int32()),
+                           ("other", pa.int32()), ("total", pa.float64()), ("n", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return shape.empty_table()
+        same = left["a"][0] == right["b"][0]
+        sides = []
+        for table in (left, right):
+            used = table["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_labels)
+            sides.append((table, [np.unique(used[:, w], return_inverse=True) for w in range(n_labels)]))
+        totals = [[np.zeros((mine.num_rows, len(names))) for names, _ in theirs]
+                  for (mine, _), (_, theirs) in (sides, sides[::-1])]
+
+        def members(side: int, part: slice) -> list[tuple[np.ndarray, np.ndarray]]:
+            """Per labelling, the clusters that some rows of a side are in, and which row is in which."""
+            found = []
+            for _, codes in sides[side][1]:
+                at, local = np.unique(codes[part], return_inverse=True)
+                found.append((at, (local[:, None] == np.arange(len(at))).astype(float)))
+            return found
+
+        columns, theirs, mine = None, [], {}
+        for across, down, dist in tiles(matrix(left["v"]), matrix(right["v"])):
+            if down != columns:
+                columns, theirs = down, members(1, down)
+            for w, (at, member) in enumerate(theirs):
+                totals[0][w][across, at] += dist @ member
+            if not same:
+                if across.start not in mine:
+                    mine[across.start] = members(0, across)
+                for w, (at, member) in enumerate(mine[across.start]):
+                    totals[1][w][down, at] += dist.T @ member
+        parts = []
+        for side in range(1 if same else 2):
+            (table, mine), (_, theirs) = sides[side], sides[1 - side]
+            ids = table["id"].combine_chunks()
+            for w, (names, codes) in enumerate(theirs):
+                each = np.repeat(np.arange(len(ids)), len(names))
+                n = np.bincount(codes, minlength=len(names)).astype(float)
+                own = mine[w][0][mine[w][1]]
+                parts.append(pa.Table.from_arrays([
+                    ids.take(pa.array(each)), pa.array(np.full(len(each), w, np.int32)),
+                    pa.array(own[each].astype(np.int32)), pa.array(np.tile(names, len(ids)).astype(np.int32)),
+                    pa.array(totals[side][w].ravel()), pa.array(np.tile(n, len(ids)))], schema=shape))
+        return pa.concat_tables(parts)
+
+    partial = upper.groupBy("a", "b").cogroup(lower.groupBy("a", "b")).applyInArrow(sums, out)
     keys = ["id", "labelling", "own"]
     per_cluster = partial.groupBy(*keys, "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("other") == F.col("own")
@@ -249,7 +335,7 @@ def silhouettes(points: DataFrame, labels: list[str], vec: str = "embedding",
     return scored.select("id", "labelling", F.col("own").alias("cluster_id"), score.alias("silhouette"))
 
 
-def silhouette_exact(points: DataFrame, vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouette_exact(points: DataFrame, vec: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Mean exact silhouette, one row."""
     scored = silhouettes(points.where("cluster_id is not null"), ["cluster_id"], vec, block_rows)
     return scored.agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n"))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,37 @@ def test_silhouette_blocks(cloud, block_rows):
     assert np.allclose([got[i] for i in range(60)], brute_silhouette(vecs, labels))
 
 
+def test_distances_by_matrix_products_are_exact():
+    """Near copies, vectors far from the origin and vectors without a finite length, in tiles of all shapes."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 6))
+    x[1], x[2], x[3] = x[0], x[0] + 1e-9, x[0] + 1e-5
+    x = x + 1000
+    x[4, 1], x[5, 0], x[6] = np.nan, np.inf, x[6] * 1e200
+    with np.errstate(all="ignore"):
+        want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for shape in ((7, 11), (64, 64)):
+        got = np.zeros_like(want)
+        for rows, cols, dist in V._distance_tiles()(x, x, *shape):
+            got[rows, cols] = dist
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12, equal_nan=True)
+
+
+def test_silhouette_sends_points_to_few_blocks(spark, monkeypatch):
+    """The number of blocks follows from what two of them hold, not from a fixed number of rows."""
+    points = spark.range(24_000).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding"),
+                                        F.when(F.col("id") % 3 == 0, 1).otherwise(2).alias("cluster_id"))
+
+    def blocks():
+        plan = V.silhouettes(points, ["cluster_id"])._jdf.queryExecution().optimizedPlan().toString()
+        return int(re.search(r"pmod\(xxhash64\(id#\d+L?, 42\), (\d+)\)", plan)[1])
+
+    few = math.isqrt(6 * spark.sparkContext.defaultParallelism) + 1
+    assert blocks() <= few
+    monkeypatch.setattr(V, "BLOCK_VALUES", 4_000)
+    assert blocks() == 12
+
+
 def test_silhouettes_of_two_labellings(cloud):
     vecs, labels, points = cloud
     both = points.withColumn("other", (F.col("id") % 4).cast("int"))
