@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -23,6 +26,9 @@ SEED = 42
 RESTARTS = 10
 MAX_ITER = 300
 MAX_AUTO_K = 20
+TOLERANCE = 1e-4
+# Rows of sums that the driver adds up itself.
+MAX_SUMS = 64
 # Fits of up to this many points run side by side.
 PARALLEL_FITS = 4
 PARALLEL_POINTS = 1_000_000
@@ -52,7 +58,9 @@ def _side_by_side(points: DataFrame, n: int, tasks: list[Callable[[], KMeansMode
 
 
 def _fit(features: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(features)
+    # Blocks of rows are made once and multiplied with all centres; without iterations they would serve nothing.
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", solver="block" if max_iter else "row").fit(
+        features)
 
 
 def fit_kmeans(features: DataFrame, k: int, n_init: int = RESTARTS, seed: int = SEED,
@@ -82,8 +90,97 @@ def kmeans(points: DataFrame, k: int, n_init: int = RESTARTS, seed: int = SEED,
     return label(model, _features(points, vec))
 
 
-def used_labels(model: KMeansModel) -> int:
-    return sum(1 for size in model.summary.clusterSizes if size > 0)
+def _nearest_of_starts(starts: list[np.ndarray]) -> Callable[[np.ndarray], Iterator[tuple]]:
+    """The function tasks run; made here, it travels with them and needs no package on the workers."""
+    middle = starts[0].mean(axis=0)
+    centers = np.concatenate(starts) - middle
+    squares, first = (centers * centers).sum(axis=1), np.cumsum([0, *map(len, starts)])
+
+    def nearest(vectors: np.ndarray, step: int = 4096) -> Iterator[tuple]:
+        # Rows about the middle, and for each start the nearest centre (the first of equal ones) and its squared distance.
+        for at in range(0, len(vectors), step):
+            x = vectors[at:at + step] - middle
+            dist = x @ (-2.0 * centers.T) + squares
+            of_start = [dist[:, a:b] for a, b in zip(first, first[1:], strict=False)]
+            found = np.stack([d.argmin(axis=1) for d in of_start], axis=1)
+            least = np.stack([d.min(axis=1) for d in of_start], axis=1) + (x * x).sum(axis=1)[:, None]
+            yield x, found, np.maximum(least, 0.0)
+
+    return nearest
+
+
+def _pass(vectors: DataFrame, starts: list[np.ndarray], n_tasks: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each start the number of points nearest to each centre, their mean and the summed squared distance."""
+    nearest, dims = _nearest_of_starts(starts), starts[0].shape[1]
+    middle, first = starts[0].mean(axis=0), np.cumsum([0, *map(len, starts)])
+    size = int(first[-1])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, cost = np.zeros((size, dims + 1)), np.zeros(len(first) - 1)
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                for x, found, least in nearest(flat.reshape(batch.num_rows, dims)):
+                    member = np.zeros((len(x), size))
+                    np.put_along_axis(member, found + first[:-1], 1.0, axis=1)
+                    total[:, :dims] += member.T @ x
+                    total[:, dims] += member.sum(axis=0)
+                    cost += least.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes() + cost.tobytes()]})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * (dims + 1) + len(first) - 1)
+        for batch in batches:
+            for value in batch.column(0):
+                total += np.frombuffer(value.as_buffer())
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    # One row of sums per task; those of many tasks are added up by a few before they go to the driver.
+    rows = vectors.mapInArrow(sums, "sums binary")
+    if n_tasks > MAX_SUMS:
+        rows = rows.repartition(MAX_SUMS // 4).mapInArrow(added, "sums binary")
+    whole = sum(np.frombuffer(row["sums"]) for row in rows.collect())
+    table, cost = whole[:size * (dims + 1)].reshape(size, dims + 1), whole[size * (dims + 1):]
+    with np.errstate(invalid="ignore"):
+        means = table[:, :dims] / table[:, dims:] + middle
+    return [(table[a:b, dims], means[a:b], float(c)) for a, b, c in zip(first, first[1:], cost, strict=False)]
+
+
+def fit_starts(features: DataFrame, starts: list[np.ndarray], max_iter: int = MAX_ITER,
+               tol: float = TOLERANCE) -> list[tuple[np.ndarray, float]]:
+    """K-means from several tables of first centres at once: the last centres and the cost of each.
+
+    Each pass over the points moves the centres of every start that has not settled, by the rules by which Spark's
+    `KMeans` moves those of one: a centre without points stays, and a start has settled when no centre moved by more
+    than `tol`. So there are as many passes as the slowest start needs, not as many as all of them together.
+    """
+    vectors = features.select(vector_to_array("features").alias("v"))
+    n_tasks = vectors.rdd.getNumPartitions()
+    centers, cost, moving = list(starts), [0.0] * len(starts), list(range(len(starts)))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        found = _pass(vectors, [centers[i] for i in moving], n_tasks)
+        still = []
+        for i, (n, means, total) in zip(moving, found, strict=True):
+            new = np.where(n[:, None] > 0, means, centers[i])
+            if (((new - centers[i]) ** 2).sum(axis=1) > tol * tol).any():
+                still.append(i)
+            centers[i], cost[i] = new, total
+        moving = still
+    return list(zip(centers, cost, strict=True))
+
+
+def label_starts(features: DataFrame, starts: list[np.ndarray], name: str = "labels") -> DataFrame:
+    """The features with an array of the nearest centre in each table of centres."""
+    nearest = _nearest_of_starts(starts)
+
+    @F.pandas_udf("array<int>")
+    def labels(vectors: pd.Series) -> pd.Series:
+        found = [rows for _, rows, _ in nearest(np.stack(vectors.to_list()))] if len(vectors) else []
+        return pd.Series([row for rows in found for row in rows.astype("int32")], dtype=object)
+
+    return features.withColumn(name, labels(vector_to_array("features")))
 
 
 def silhouette_fast(points: DataFrame, label_col: str = "cluster_id", vec: str = "embedding") -> float:
@@ -106,27 +203,31 @@ def sweep_k(points: DataFrame, vec: str = "embedding", n_init: int = 1, seed: in
     features = _features(points, vec).persist(StorageLevel.MEMORY_AND_DISK) if own_copy else points
     try:
         n = features.count()
-        fits = [partial(_fit, features, k, seed + start, MAX_ITER)
+        # Spark's own choice of the first centres; all candidates then share each pass over the points.
+        fits = [partial(_fit, features, k, seed + start, 0)
                 for k in range(2, auto_k_bound(n) + 1) for start in range(n_init)]
-        models: dict[int, KMeansModel] = {}
-        for model in _side_by_side(features, n, fits):
-            k = model.getK()
-            if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
-                models[k] = model
-        labelled, candidates = features, []
-        for k, model in sorted(models.items()):
-            if used_labels(model) >= 2:
-                candidates.append(k)
-                labelled = model.setPredictionCol(f"k{k}").transform(labelled)
-        if not candidates:
-            return []
-        columns = [f"k{k}" for k in candidates]
-        if silhouette == "squared":
-            return [(k, silhouette_fast(labelled, f"k{k}", "features")) for k in candidates]
-        arrays = labelled.withColumn("embedding", vector_to_array("features"))
-        means = silhouettes(arrays, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
-        found = {row["labelling"]: row["mean"] for row in means.collect()}  # one row per candidate
-        return [(k, found[i]) for i, k in enumerate(candidates)]
+        tried = [(model.getK(), np.array(model.clusterCenters())) for model in _side_by_side(features, n, fits)]
+        best: dict[int, tuple[np.ndarray, float]] = {}
+        for (k, _), (centers, cost) in zip(tried, fit_starts(features, [c for _, c in tried]), strict=True):
+            if k not in best or cost < best[k][1]:
+                best[k] = centers, cost
+        labelled = label_starts(features, [centers for centers, _ in best.values()])
+        labelled = labelled.withColumns({f"k{k}": F.col("labels")[i] for i, k in enumerate(best)}).drop("labels").persist(
+            StorageLevel.MEMORY_AND_DISK)
+        try:
+            used = labelled.agg(*[(F.min(f"k{k}") < F.max(f"k{k}")).alias(f"k{k}") for k in best]).first()
+            candidates = [k for k in best if used[f"k{k}"]]
+            if not candidates:
+                return []
+            columns = [f"k{k}" for k in candidates]
+            if silhouette == "squared":
+                return [(k, silhouette_fast(labelled, f"k{k}", "features")) for k in candidates]
+            arrays = labelled.withColumn("embedding", vector_to_array("features"))
+            means = silhouettes(arrays, columns).groupBy("labelling").agg(F.avg("silhouette").alias("mean"))
+            found = {row["labelling"]: row["mean"] for row in means.collect()}  # one row per candidate
+            return [(k, found[i]) for i, k in enumerate(candidates)]
+        finally:
+            labelled.unpersist()
     finally:
         if own_copy:
             features.unpersist()

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from postloom.operators import clustering as C
@@ -165,6 +166,29 @@ def test_auto_k_finds_two_groups(spark):
     assert C.auto_k(points, silhouette="exact") == 2
 
 
+def test_candidates_share_passes_and_equal_single_fits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(300, 4)) + rng.integers(0, 3, (300, 1)) * 4 + 50
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id int, embedding array<double>")
+    features = C._features(points.repartition(6), "embedding").persist()
+    fits = [KMeans(k=k, seed=C.SEED, maxIter=C.MAX_ITER, featuresCol="features").fit(features) for k in (2, 3, 7)]
+    starts = [np.array(C._fit(features, k, C.SEED, 0).clusterCenters()) for k in (2, 3, 7)]
+    passes = []
+    run = C._pass
+    monkeypatch.setattr(C, "_pass", lambda *a: passes.append(1) or run(*a))
+    for added_by_the_driver in (64, 4):
+        monkeypatch.setattr(C, "MAX_SUMS", added_by_the_driver)
+        passes.clear()
+        for model, (centers, cost) in zip(fits, C.fit_starts(features, starts), strict=True):
+            assert np.allclose(centers, model.clusterCenters())
+            assert math.isclose(cost, model.summary.trainingCost, rel_tol=1e-6)
+        assert len(passes) == max(m.summary.numIter for m in fits) < sum(m.summary.numIter for m in fits)
+    labelled = C.label_starts(features, [np.array(m.clusterCenters()) for m in fits]).orderBy("id").collect()
+    want = [[r["prediction"] for r in m.transform(features).orderBy("id").collect()] for m in fits]
+    assert [list(r["labels"]) for r in labelled] == [list(x) for x in zip(*want, strict=True)]
+    features.unpersist()
+
+
 def test_cluster_two_topics(topic_posts):
     posts = topic_posts(2, 5)
     assignments, clusters = C.cluster_posts(posts, k=2, n_init=3)
