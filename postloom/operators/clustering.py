@@ -259,11 +259,12 @@ def cluster_posts(posts: DataFrame, k: int | None = None, min_posts: int = 6, ve
     With `min_size`, smaller clusters are merged into the nearest larger one. `silhouette` and `auto_n_init`
     (restarts per candidate k) as in `sweep_k`.
     """
-    if posts.limit(min_posts).count() < min_posts:
+    # Written once: the posts may stand behind joins, and their text is read for the vectors and for the keywords.
+    rows = checkpointed(posts.select("id", "content"))
+    if rows.limit(min_posts).count() < min_posts:
         return None, None
-    rows = posts.select("id", "content")
     # Embedded once and written: the fits, the labels and the sizes below agree whatever the embedder does.
-    points = checkpointed((embed(rows, method=method) if vectors is None else rows.join(
+    points = checkpointed((embed(rows, method=method, keep=["id"]) if vectors is None else rows.join(
         vectors.select("id", "embedding"), "id", "left")).select("id", "embedding"))
     without = points.where("embedding is null").select("id")
     if vectors is not None and missing != "null" and (n := without.count()):

@@ -38,8 +38,10 @@ def as_vector(df: DataFrame, vec: str) -> Column:
     return array_to_vector(F.col(vec).cast("array<double>"))
 
 
-def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384, min_count: int = 5) -> DataFrame:
-    """Add an `embedding` array to each row.
+def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384, min_count: int = 5,
+          keep: list[str] | None = None) -> DataFrame:
+    """Add an `embedding` array to each row. With `keep` only these columns stay beside it, and `tfidf` writes its
+    term frequencies once instead of reading the text for the fit and again for the vectors.
 
     `tfidf`: hashed term frequencies times inverse document frequency, unit length. `word2vec`: mean word
     vector, trained in one task per input partition; words seen fewer than `min_count` times are left out, and
@@ -52,10 +54,13 @@ def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384,
                 yield pd.Series([[float(v) for v in row] for row in vectors])
 
         encode = F.pandas_udf(run, "array<float>")
-        return df.withColumn("embedding", encode(F.col(text)))
+        done = df.withColumn("embedding", encode(F.col(text)))
+        return done.select(*keep, "embedding") if keep else done
     words = df.withColumn("_words", tokens(F.col(text)))
     if method == "tfidf":
         counted = HashingTF(numFeatures=size, inputCol="_words", outputCol="_tf").transform(words)
+        if keep:
+            counted = checkpointed(counted.select(*keep, "_tf"))
         weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted.select("_tf")).transform(counted)
         encoded = Normalizer(inputCol="_idf", outputCol="_vec").transform(weighted)
     elif method == "word2vec":
@@ -64,7 +69,7 @@ def embed(df: DataFrame, text: str = "content", method="tfidf", size: int = 384,
         encoded = model.fit(words.select("_words")).transform(words)
     else:
         raise ValueError(f"unknown embedding method {method!r}")
-    return encoded.select(*df.columns, vector_to_array("_vec", "float32").alias("embedding"))
+    return encoded.select(*(keep or df.columns), vector_to_array("_vec", "float32").alias("embedding"))
 
 
 def cluster_moments(points: DataFrame, vec: str = "embedding") -> DataFrame:

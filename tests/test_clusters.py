@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
@@ -236,6 +237,27 @@ def test_each_text_is_embedded_once(spark, topic_posts):
     assert clusters.agg(F.sum("post_count")).first()[0] == 15 and seen.value == 15
 
 
+def test_posts_are_read_once(spark, topic_posts):
+    """The fit of the term weights, the vectors and the keywords share one run of what stands behind the posts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts
+
+    posts = topic_posts(3, 5).withColumn("content", read.asNondeterministic()("content"))
+    _, clusters = C.cluster_posts(posts, k=3, n_init=2)
+    assert clusters.agg(F.sum("post_count")).first()[0] == 15 and seen.value == 15
+
+
+def test_kept_columns_do_not_change_vectors(spark, topic_posts):
+    posts = topic_posts(2, 4).withColumn("more", F.lit(1))
+    whole, kept = V.embed(posts, size=16), V.embed(posts, size=16, keep=["id"])
+    assert whole.columns == ["id", "content", "more", "embedding"] and kept.columns == ["id", "embedding"]
+    assert sorted(whole.select("id", "embedding").collect()) == sorted(kept.collect())
+
+
 def test_many_centres(spark):
     points = spark.range(3).select("id", F.array(F.col("id").cast("double"), F.lit(0.5)).alias("embedding"))
     centers = spark.range(1, 20_001).select(F.col("id").cast("int").alias("cluster_id"),
