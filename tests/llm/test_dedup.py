@@ -12,7 +12,7 @@ from cases import components, empty, frame, rows
 
 from postloom.llm import exact, substrings
 from postloom.llm.exact import Bucket, CuckooFilter, exact_groups, text_digests, update_index
-from postloom.llm.lines import dedup_lines, without_lines
+from postloom.llm.lines import candidate_sets, dedup_lines, line_sets, set_classes, without_lines, word_ranks
 from postloom.llm.simhash import forest, simhash, simhash_groups
 from postloom.llm.substrings import dedup_substrings
 
@@ -182,6 +182,33 @@ def test_lines_awkward(spark):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_that_share_only_rare_words_are_no_candidates(spark):
+    """Sets that meet at each of five rare words and have nothing else in common: ruled out where they meet."""
+    own = [[f"own{i}x{k}" for k in range(25)] for i in range(40)]
+    data = [(i, " ".join([*(f"rare{k}" for k in range(5)), *words])) for i, words in enumerate(own)]
+    data.append((40, data[0][1] + " tail"))
+    often = spark.createDataFrame([(" ".join(words * 50),) for words in own], "text string")
+    texts = spark.createDataFrame([(i, i, t) for i, t in data], "id long, key long, text string")
+    classes = set_classes(line_sets(texts, word_ranks(often))).cache()
+    found = candidate_sets(classes)
+    number = {r["first"]["id"]: r["cid"] for r in classes.collect()}
+    assert [{r["a"], r["b"]} for r in found.collect()] == [{number[0], number[40]}]
+
+
+def test_large_lines_keep_their_links(spark):
+    """Sets with both halves of the bit map, with one, and pairs of one of each; some pairs just at the limit."""
+    rnd = random.Random(11)
+    data = []
+    for i, n in enumerate([5, 8, 9, 17, 36, 57, 62, 64, 65, 66, 72, 90, 130, 200] * 3):
+        words = [f"q{i}w{k}" for k in range(n)]
+        for change in (0, 1, n // 9, n // 9 + 1, n // 5):
+            less = words[:n - change]
+            data += [" ".join(less + [f"z{rnd.random()}" for _ in range(change)]), " ".join(less), " ".join(words + less)]
+    data = list(enumerate(data))
+    found = dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).drop("key").collect()
+    assert Counter((r[0], r[1], r[2], r[3], tuple(r[4])) for r in found) == plain_lines(data)
+
+
 def plain_substrings(data):
     first, split = {}, []
     for i, t in data:
